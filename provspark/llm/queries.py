@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import decontam, qualityclf, simhash
+from provspark.llm import decontam, linededup, lmscore, packing, qualityclf, qualityrules, sharding, simhash, tokenstore, urlfilter
+from provspark.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +17,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = r"""
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+u as (select page_id, url, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from p),
+rules(h, q, action) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (select distinct u.host, u.path, first_value(h || q) over best as rule, first_value(action) over best as action from (select distinct host, path from u) u join rules on (u.host = h or ends_with(u.host, '.' || h)) and starts_with(u.path, q) window best as (partition by u.host, u.path order by length(h || q) desc))
+select page_id, u.host, u.path, rule, coalesce(action, 'allow') as verdict from u left join fits on u.host = fits.host and u.path = fits.path
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = scratch_path(spark, "store"), vocabulary("byte_bpe_50k.json")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), path, tokenizer)
+    return tokenstore.read_store(spark, path, tokenizer)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,11 +91,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_simhash": op2_simhash,
+        "op3_sharding": op3_sharding,
+        "op4_token_store": op4_token_store,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_packing": op7_packing,
+        "op8_lm_scores": op8_lm_scores,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op9_decontamination": OP9_SQL}
