@@ -3,8 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The Parquet tables of one folder, read when named."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Register a function of ``Tables`` as a query, with its SQL if it has one."""
+
+    def register(function: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        key = name or function.__name__
+        QUERIES[key] = lambda spark, folder: function(Tables(spark, folder))
+        if sql:
+            ORACLES[key] = sql
+        return function
+
+    return register
+
+
+for _module in ("history", "comparison", "records", "registry", "scalars", "documents"):
+    import_module(f"provspark.plans.{_module}_queries")
