@@ -1 +1,3 @@
-"""To be filled."""
+"""Readings that go through whole documents of the model: manifests and capsules."""
+
+from __future__ import annotations
