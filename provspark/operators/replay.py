@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provspark.operators.check import cascade
 
 #: Refusals in the order they are tried.
-REFUSALS = ("unsupported_operation", "unknown_contract", "not_qualified", "missing_input", "unsupported_context", "changed", "input_changed", "invalid_parameters")
+REFUSALS = ("unsupported_operation", "unsupported_contract", "missing_input", "unsupported_context", "input_changed", "invalid_parameters")
 
 
 def input_status(inputs: DataFrame, live: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def input_refusals(statuses: DataFrame) -> DataFrame:
     code = cascade(
         (F.col("status") == "missing", "missing_input"),
         (F.col("status") == "unsupported", "unsupported_context"),
-        ((F.col("status") == "roi_changed") & ~F.coalesce("restorable", F.lit(False)), "changed"),
+        ((F.col("status") == "roi_changed") & ~F.coalesce("restorable", F.lit(False)), "input_changed"),
         (F.col("status") == "input_changed", "input_changed"),
     )
     bad = statuses.withColumn("_code", code).where("_code is not null")
@@ -42,24 +42,23 @@ def input_refusals(statuses: DataFrame) -> DataFrame:
 
 
 def eligibility(activities: DataFrame, contracts: DataFrame, refusals: DataFrame, context_ok: Column, parameters_ok: Column) -> DataFrame:
-    """``activities`` with ``eligibility``: the first refusal that holds, or ``eligible``.
+    """``activities`` with ``eligibility``: the first refusal that holds, or ``ready``.
 
     ``activities(activity_id, operation_id, contract_version)``; ``contracts(operation_id, contract_version, qualified)``
     is a stated list. An opaque activity has no operation.
     """
-    known = contracts.select("operation_id", "contract_version", "qualified").withColumn("_known", F.lit(True))
+    known = contracts.select("operation_id", "contract_version", "qualified")
     joined = activities.join(known, ["operation_id", "contract_version"], "left").join(refusals, "activity_id", "left")
     verdict = cascade(
         (F.col("operation_id").isNull(), "unsupported_operation"),
-        (F.col("_known").isNull(), "unknown_contract"),
-        (~F.coalesce("qualified", F.lit(False)), "not_qualified"),
+        (~F.coalesce("qualified", F.lit(False)), "unsupported_contract"),
         (F.col("input_refusal") == "missing_input", "missing_input"),
         (F.col("input_refusal").isNotNull(), None),
         (~context_ok, "unsupported_context"),
         (~parameters_ok, "invalid_parameters"),
-        otherwise="eligible",
+        otherwise="ready",
     )
-    return joined.withColumn("eligibility", F.coalesce(verdict, "input_refusal")).drop("_known", "qualified")
+    return joined.withColumn("eligibility", F.coalesce(verdict, "input_refusal")).drop("qualified")
 
 
 def context_refusals(reads: DataFrame, current: DataFrame) -> DataFrame:

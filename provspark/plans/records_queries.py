@@ -46,9 +46,9 @@ def document_partition(t: Tables) -> DataFrame:
 
 
 @query("""
-select o_orderkey as activity_id, case when o_orderstatus = 'P' then 'unsupported_operation' when o_custkey % 10 = 0 then 'unknown_contract' when o_custkey % 10 = 1 then 'not_qualified'
+select o_orderkey as activity_id, case when o_orderstatus = 'P' then 'unsupported_operation' when o_custkey % 10 in (0, 1) then 'unsupported_contract'
  when c_custkey is null or c_custkey % 17 = 0 then 'missing_input' when c_acctbal < 0 then 'unsupported_context' when c_mktsegment = 'BUILDING' then 'input_changed'
- when o_orderpriority like '1%' then 'unsupported_context' when o_totalprice > 400000 then 'invalid_parameters' else 'eligible' end as eligibility
+ when o_orderpriority like '1%' then 'unsupported_context' when o_totalprice > 400000 then 'invalid_parameters' else 'ready' end as eligibility
 from orders left join customer on o_custkey = c_custkey
 """)
 def replay_eligibility(t: Tables) -> DataFrame:
