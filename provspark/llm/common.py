@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from math import inf
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but space, tab, LF, VT, FF and CR (Java regex).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="provspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+from provspark.scratch import drop_path, materialize, scratch_path, shared_dir
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/provspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["WORD", "drop_path", "id_buckets", "materialize", "running_start", "scratch_path", "shared_dir", "text_bytes", "words_of"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+#: A word is a run of anything but space, tab, LF, VT, FF and CR (Java regex).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_bytes(column: pa.Array) -> list:
@@ -53,24 +30,24 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 
 def id_buckets(df: DataFrame, order: str, per_bucket: int = 100_000) -> tuple[DataFrame, list]:
-    """Add ``_bucket``: the ordinal of an ascending range of ``order``; null ids come first, in bucket 0.
+    """Add ``_bucket``: the ordinal of an ascending range of ``order``; null ids come first.
 
     The range borders are quantiles of the whole column; their number follows the row count.
     """
     rows = df.count()
-    parts = max(1, min(100_000, -(-rows // per_bucket)))
+    parts = max(1, min(4096, -(-rows // per_bucket)))
     if rows and parts < 16:
         parts = 16 if rows > 1000 else 1
     borders: list = []
     if parts > 1:
         found = df.approxQuantile(order, [i / parts for i in range(1, parts)], min(0.01, 0.25 / parts))
-        borders = sorted({int(x) for x in found})
+        borders = sorted({float(int(x)) for x in found})
     if not borders:
         return df.withColumn("_bucket", F.lit(0)), borders
-    ranges = df.sparkSession.createDataFrame([(borders,)], "b array<bigint>")
-    held = df.crossJoin(F.broadcast(ranges)) if len(borders) > 2000 else df.withColumn("b", F.array(*[F.lit(x).cast("bigint") for x in borders]))
-    # the number of borders at or below the id
-    return held.withColumn("_bucket", F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter("b", lambda x: x <= F.col(order))))).drop("b"), borders
+    # a binary search among at most 4,095 borders; ids that are one as doubles share a range
+    ranges = Bucketizer(splits=[-inf, *borders, inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
+    placed = ranges.transform(df.withColumn("_at", F.coalesce(F.col(order), F.lit(0)).cast("double")))
+    return placed.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int"))).drop("_at", "_range"), borders
 
 
 def running_start(df: DataFrame, order: str, ties: list[str], amount: str, out: str) -> DataFrame:
