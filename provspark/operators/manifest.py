@@ -176,11 +176,11 @@ def parameter_entities(calls: DataFrame) -> DataFrame:
     return each.select(F.concat(activity_ref(F.col("activity_id")), F.lit("-parameter-"), F.col("name")).alias("id"), F.lit("PropertyValue").alias("type"), "name", F.col("json").alias("json_value"))
 
 
-def attachment_entities(files: DataFrame) -> DataFrame:
+def attachment_entities(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``files(name, media_type, size, sha256, description)`` as entity rows with the ``problem`` that bars one."""
     digest = F.regexp_extract("sha256", r"^sha256:([0-9a-f]{64})\z", 1)
     problem = F.when(~F.coalesce(F.col("name").rlike(ATTACHMENT_NAME), F.lit(False)), "invalid name").when(~F.coalesce(F.col("size") >= 0, F.lit(False)), "invalid size").when(F.coalesce(digest, F.lit("")) == "", "invalid digest").when(~F.coalesce(F.col("media_type").contains("/"), F.lit(False)), "invalid media type")
-    return files.select(F.concat(F.lit(ATTACHMENTS), F.col("name")).alias("id"), F.lit("File").alias("type"), "name", F.col("media_type").alias("encodingFormat"), F.col("size").cast("string").alias("contentSize"), digest.alias("sha256"), F.nullif("description", F.lit("")).alias("description"), problem.alias("problem"))
+    return files.select(*keys, F.concat(F.lit(ATTACHMENTS), F.col("name")).alias("id"), F.lit("File").alias("type"), "name", F.col("media_type").alias("encodingFormat"), F.col("size").cast("string").alias("contentSize"), digest.alias("sha256"), F.nullif("description", F.lit("")).alias("description"), problem.alias("problem"))
 
 
 def environment_summary(made: DataFrame, links: DataFrame, packages: DataFrame) -> DataFrame:
