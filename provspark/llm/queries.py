@@ -45,6 +45,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, coalesce(doc_id::varchar, '') as key from documents),
+b as (select doc_id, key, octet_length(encode(t)) + 1 as size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::bigint) as bytes from d),
+c as (select doc_id, key, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) as crc from b),
+s as (select *, list_transform(range(9), lambda s: -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::bigint + 0.5) / 4503599627370496.0)) as scores, ('0x' || substr(md5(key || ':block'), 1, 13))::bigint % 4096 as block from c),
+p as (select *, list_position(scores[1:8], list_min(scores[1:8])) - 1 as shard, list_position(scores, list_min(scores)) - 1 as grown_shard from s)
+select doc_id, size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by block, doc_id nulls first, crc, size) - 1 as slot, grown_shard from p
+"""
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tokenizer = scratch_path(spark, "store"), vocabulary("byte_bpe_50k.json")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, tokenizer)
@@ -52,13 +62,54 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qualityrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return qualityrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mean_ratio")
+
+
+OP5_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+g as (select r, unnest(range(1, len(w) - 1)) as i, unnest([w[x] || ' ' || w[x + 1] || ' ' || w[x + 2] for x in range(1, len(w) - 1)]) as g from w where len(w) >= 3),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+repeated as (select r, count(distinct i + k) as n from twice, (values (0), (1), (2)) k(k) group by r),
+lines as (select r, unnest(string_split(t, chr(10))) as l from d),
+dup as (select r, count(*) - count(distinct l) as n from lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+good as (select doc_id from (select distinct doc_id from labels where quality = 1 and toxic = 0 and doc_id is not null) order by md5(doc_id::varchar) limit 20000),
+ch as (select r, doc_id in (select doc_id from good) as good, unnest(range(len(t))) as i, unnest(string_split(t, '')) as c from d where t <> ''),
+tri as (select r, good, (unicode(c) * 66931 + unicode(lead(c) over o) * 1031 + unicode(lead(c, 2) over o)) % 262144 as b from ch window o as (partition by r order by i)),
+n as (select b, count(*)::double as raw, count(*) filter (where good)::double as hit from tri where b is not null group by b),
+s as (select sum(raw) as raws, sum(hit) as hits from n),
+lr as (select b, case when hits = 0 then 0 else ln((hit + hits / raws) / (hits + hits / raws * 262144)) - ln((raw + 1) / (raws + 262144)) end as x from n, s),
+m as (select r, avg(x) as mean from tri join lr using (b) group by r),
+f as (select d.doc_id, len(w.w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+  coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(repeated.n, 0)::bigint as n_repeat_words, coalesce(mean, 0) as mean
+  from d join w using (r) left join dup using (r) left join repeated using (r) left join m using (r)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and mean >= -0.5 as kept from v
+"""
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
 
 
+OP6_SQL = r"""
+with d as (select distinct doc_id, text from documents where text is not null),
+l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+c as (select line, count(*) as c from l group by line having count(*) > 1),
+r as (select distinct l.doc_id, l.pos, l.line, c, ('0x' || substr(md5(l.line), 1, 15))::bigint as h, len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+')) as words from l join c using (line)),
+f as (select *, words >= 50 as long, lag(pos) over w as p1, lag(h) over w as h1, lag(words >= 50) over w as long1, lag(c) over w as c1, lag(pos, 2) over w as p2, lag(h, 2) over w as h2 from r window w as (partition by doc_id order by pos)),
+s as (select *, p1 is null or pos <> p1 + 1 or long or long1 or c > 2 * c1 or c1 > 2 * c or ((h1 % 1000003) * 31 + case when p2 + 1 = p1 then h2 % 1000003 else 0 end) % 3 = 0 as first from f),
+k as (select *, count(*) filter (where first) over (partition by doc_id order by pos) as chunk from s),
+g as (select doc_id, chunk, min(pos) as start, string_agg(line, chr(10) order by pos) as bytes, count(*) filter (where words > 0) as solid, bool_or(long) as long from k group by doc_id, chunk),
+z as (select doc_id, chunk, row_number() over (partition by bytes order by doc_id nulls first, start) as place from g where long or solid >= 2),
+gone as (select k.doc_id, k.pos from k join z on k.doc_id is not distinct from z.doc_id and k.chunk = z.chunk where place > 1),
+n as (select doc_id, count(*) as removed_lines from gone group by doc_id),
+rest as (select l.doc_id, string_agg(l.line, chr(10) order by l.pos) as text from l left join gone on l.doc_id is not distinct from gone.doc_id and l.pos = gone.pos where gone.pos is null and l.doc_id in (select doc_id from n) group by l.doc_id)
+select o.doc_id, case when n.removed_lines is null then o.text else coalesce(rest.text, '') end as text, coalesce(n.removed_lines, 0) as removed_lines
+from documents o left join n using (doc_id) left join rest using (doc_id)
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -105,4 +156,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_sharding": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
