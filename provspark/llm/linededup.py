@@ -55,7 +55,7 @@ def chunks(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS
     """
     line = F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.struct(line_hash(x).alias("h"), F.coalesce((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), F.lit(False)).alias("long"), x.rlike(WORD).alias("solid"))))
     rows = _keyed(docs).select("_id", "_th", line.alias("pos", "x")).select("_id", "_th", "pos", "x.*")
-    often = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    often = materialize(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "line-hashes")  # a table, so that AQE can split the join at a hot line
     repeated = rows.join(often, "h").select("_id", "_th", F.struct("pos", "h", "c", "long", "solid").alias("x"))
     runs = repeated.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("x")).alias("l")).withColumn("s", _starts(modulus))
     cut = F.transform("s", lambda a, k: F.slice("l", a + 1, F.coalesce(F.get("s", k + 1), F.size("l")) - a))
@@ -84,7 +84,8 @@ def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORD
     kept = found.groupBy("ck").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").drop("n")
     kept = materialize(kept, "line-keepers")
     by_doc = kept.groupBy(F.col("keep._id").alias("_id"), F.col("keep._th").alias("_th")).agg(F.collect_list(F.struct("ck", "keep.start", "keep.lines")).alias("ks"))
-    first = _keyed(docs).join(by_doc, ["_id", "_th"]).select("text", F.explode("ks").alias("k"))
+    # both sides of this join, and of the last one, grow with the corpus: neither is broadcast
+    first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select("text", F.explode("ks").alias("k"))
     first = first.select(F.col("k.ck").alias("ck"), _lines_at(F.col("k.start"), F.col("k.lines")).alias("bytes"))
     later = found.join(kept, "ck").where(place != F.col("keep")).select("_id", "_th", "start", "lines", "ck")
     pairs = later.join(first, "ck").select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
@@ -102,7 +103,7 @@ def without_repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = L
     """
     names = docs.columns
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(repeats(docs, modulus, long_words), ["_id", "_th"], "left")
+    joined = keyed.join(repeats(docs, modulus, long_words).hint("merge"), ["_id", "_th"], "left")
     equal = F.filter("rm", lambda r: _lines_at(r["start"], r["lines"]) == r["bytes"])
     joined = joined.withColumn("_rm", F.flatten(F.transform(equal, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1))))
     split = F.split("text", "\n", -1)
