@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provspark.functions import canon
@@ -160,3 +160,13 @@ def record_states(known: DataFrame, observed: DataFrame) -> DataFrame:
 def held_until_named(pending: DataFrame, remap: DataFrame) -> DataFrame:
     """Activities whose temporary outputs got final ids, ``remap(temporary, final)``; those without one are dropped."""
     return pending.join(remap.withColumnRenamed("temporary", "object_uuid"), "object_uuid").drop("object_uuid").withColumnRenamed("final", "object_uuid")
+
+
+def write_tables(found: Ledgers, path: str) -> None:
+    """The three tables as Parquet under ``path``, which must not exist: nothing is ever written over."""
+    for name in ("environments", "states", "activities"):
+        getattr(found, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str) -> Ledgers:
+    return Ledgers(*(spark.read.parquet(f"{path}/{name}") for name in ("environments", "states", "activities")))
