@@ -8,6 +8,7 @@ bigram); p(word | class) is the added-one share of the word among its class, one
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -60,13 +61,42 @@ def endings(coded: np.ndarray) -> np.ndarray:
 
 def features(coded: np.ndarray) -> list[np.ndarray]:
     """Of a text's coded tokens: each template's feature rows. Before the text stand zeros."""
-    h = np.concatenate([np.zeros(3, np.uint64), coded])
-    one, two, three = h[2:-1], h[1:-2], h[:-3]
+    return features_of([coded])
+
+
+def features_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The feature rows of several texts one after the other, none seeing another's words."""
+    sizes = np.array([len(t) for t in texts])
+    gap = np.zeros(3, np.uint64)
+    h = np.concatenate([x for t in texts for x in (gap, t)])
+    # where the tokens are: every text moves on by the gaps before it
+    at = np.arange(sizes.sum()) + np.repeat(3 * np.arange(1, len(texts) + 1), sizes)
+    one, two, three = h[at - 1], h[at - 2], h[at - 3]
     keys = (one, two, three, one * _SALTS[3] + two)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     return [(((k + np.uint64(t + 1)) * _SALTS[t]) >> shift).astype(np.int64) + t * BUCKETS for t, k in enumerate(keys)]
 
 
+def batched(texts: Iterator[bytes | None], coded: Coded, most: int = 16_384) -> Iterator[tuple[list[list[bytes]], list[np.ndarray], np.ndarray]]:
+    """Texts together until they have ``most`` tokens: their tokens, feature rows and endings. A longer text stands alone."""
+    held: list[list[bytes]] = []
+    size = 0
+    for raw in texts:
+        words = _tokens(raw)
+        if held and size + len(words) > most:
+            yield _together(held, coded)
+            held, size = [], 0
+        held.append(words)
+        size += len(words)
+    if held:
+        yield _together(held, coded)
+
+
+def _together(held: list[list[bytes]], coded: Coded) -> tuple[list[list[bytes]], list[np.ndarray], np.ndarray]:
+    codes = [coded.of(words) for words in held]
+    return held, features_of(codes), endings(np.concatenate(codes))
+
+
 def learn_classes(beside: np.ndarray, seed: int = 5, steps: int = 25) -> np.ndarray:
     """Ending -> class, by weighted k-means of the endings' neighbour shares (square roots); the end is class 0."""
     weight = beside.sum(axis=1) + 1e-9
@@ -110,15 +140,15 @@ class Model:
         out += self.bias
         return out
 
-    def log_p(self, rows: list[np.ndarray], classes: np.ndarray) -> float:
-        """Sum over the tokens of ln p(class | history)."""
-        total = 0.0
+    def log_p(self, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+        """Of each token, ln p(class | history)."""
+        out = np.empty(len(classes))
         for i in range(0, len(classes), _BLOCK):
             z = self.logits([r[i : i + _BLOCK] for r in rows])
-            total += float(z[np.arange(len(z)), classes[i : i + _BLOCK]].sum(dtype=np.float64))
+            own = z[np.arange(len(z)), classes[i : i + _BLOCK]]
             np.exp(z, out=z)
-            total -= float(np.log(z.sum(axis=1)).sum(dtype=np.float64))
-        return total
+            out[i : i + _BLOCK] = own - np.log(z.sum(axis=1))
+        return out
 
     def shares(self, rows: list[np.ndarray]) -> np.ndarray:
         z = self.logits(rows)
@@ -204,9 +234,8 @@ def _summed(train: DataFrame, class_of: np.ndarray, collect) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, coded = np.zeros((rows, CLASSES), np.float32), _CODED
         for batch in batches:
-            for raw in text_bytes(batch.column(0)):
-                tokens = coded.of(_tokens(raw))
-                collect(table, features(tokens), class_of[endings(tokens)])
+            for _, rows_of, ends in batched(text_bytes(batch.column(0)), coded):
+                collect(table, rows_of, class_of[ends])
         cols = _blocks(table, TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -219,12 +248,12 @@ def _see(table: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> None
 
 
 def _expect(model: Model):
-    def collect(table: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> None:
-        for i in range(0, len(classes), _BLOCK):
-            part = [r[i : i + _BLOCK] for r in rows]
-            p = model.shares(part)
-            for r in part:
-                order = np.argsort(r)
+    def collect(table: np.ndarray, rows: list[np.ndarray], classes: np.ndarray, most: int = 16_384) -> None:
+        for i in range(0, len(classes), most):
+            part = [r[i : i + most] for r in rows]
+            p = np.concatenate([model.shares([r[j : j + _BLOCK] for r in part]) for j in range(0, len(part[0]), _BLOCK)])
+            for t, r in enumerate(part):
+                order = np.argsort((r - t * BUCKETS).astype(np.uint16), kind="stable")  # a radix sort
                 r = r[order]
                 first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 table[r[first]] += np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
@@ -268,24 +297,24 @@ def score(docs: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, class_of, top, floor = shared.value
-        logs = {w: np.log10(c + 1) for w, c in top.items()}
+        logs = {w: math.log10(c + 1) for w, c in top.items()}
         coded, part, at = _CODED, TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, sizes, known, counted, classed, rare = [], [], [], [], [], []
-            for raw in text_bytes(batch.column(1)):
-                words = _tokens(raw)
-                found = list(map(logs.get, words))
-                mine = [x for x in found if x is not None]
-                tokens = coded.of(words)
-                classes = class_of[endings(tokens)]
-                z = model.log_p(features(tokens), classes)
-                keys.append(part << 40 | at)
-                at += 1
-                sizes.append(len(words))
-                known.append(len(mine))
-                counted.append(float(np.sum(mine)))
-                classed.append(z / np.log(10) - float(floor[classes].sum()))
-                rare.append(list(Counter(w for w, x in zip(words, found) if x is None).items()) if len(mine) < len(words) else [])
+            for held, rows_of, ends in batched(text_bytes(batch.column(1)), coded):
+                classes = class_of[ends]
+                first = np.cumsum([0, *map(len, held)])[:-1]
+                gained = np.add.reduceat(model.log_p(rows_of, classes) / np.log(10) - floor[classes], first)
+                for words, z in zip(held, gained.tolist()):
+                    found = list(map(logs.get, words))
+                    mine = [x for x in found if x is not None]
+                    keys.append(part << 40 | at)
+                    at += 1
+                    sizes.append(len(words))
+                    known.append(len(mine))
+                    counted.append(math.fsum(mine))
+                    classed.append(z)
+                    rare.append(list(Counter(w for w, x in zip(words, found) if x is None).items()) if len(mine) < len(words) else [])
             arrays = [pa.array(keys, pa.int64()), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(counted, pa.float64()), pa.array(classed, pa.float64())]
             pairs = pa.array([[{"word": w, "m": m} for w, m in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*arrays, pairs], ["key", "doc_id", "held_out", "n_tokens", "known", "counted", "classed", "rare"])

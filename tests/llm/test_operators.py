@@ -246,7 +246,15 @@ def test_model_is_a_distribution():
     rows = lmscore.features(rng.integers(0, 2**63, 50).astype(np.uint64))
     assert np.allclose(model.shares(rows).sum(axis=1), 1, atol=1e-5)
     classes = np.arange(50) % lmscore.CLASSES
-    assert model.log_p(rows, classes) == pytest.approx(float(np.log(model.shares(rows)[np.arange(50), classes]).sum()), rel=1e-4)
+    assert np.allclose(model.log_p(rows, classes), np.log(model.shares(rows)[np.arange(50), classes]), atol=1e-4)
+
+
+def test_texts_together_are_as_apart():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (1, 5, 2, 9)]
+    apart = [lmscore.features(t) for t in texts]
+    for t, rows in enumerate(lmscore.features_of(texts)):
+        assert rows.tolist() == [x for a in apart for x in a[t].tolist()]
 
 
 def test_updates_follow_the_gradient():
@@ -257,14 +265,14 @@ def test_updates_follow_the_gradient():
     for rows, classes in data:
         lmscore._see(seen, rows, classes)
     model = lmscore.Model(seen, np.bincount(np.concatenate([c for _, c in data]), minlength=lmscore.CLASSES))
-    likelihood = [sum(model.log_p(r, c) for r, c in data)]
+    likelihood = [sum(model.log_p(r, c).sum() for r, c in data)]
     for _ in range(3):
         expected = np.zeros_like(seen)
         for rows, classes in data:
             lmscore._expect(model)(expected, rows, classes)
         assert expected.sum() == pytest.approx(seen.sum(), rel=1e-3)
         model.update(seen, expected)
-        likelihood.append(sum(model.log_p(r, c) for r, c in data))
+        likelihood.append(sum(model.log_p(r, c).sum() for r, c in data))
     assert likelihood == sorted(likelihood)
 
 
