@@ -92,8 +92,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
             serial += 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece_of = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                piece_of = batch.slice(at, 1024)
                 for doc, raw in zip(piece_of.column(0).to_pylist(), encoder.encode(piece_of.column(1).to_pylist())):
                     raw += tail
                     total = len(raw) // 4

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Before a single space or line end between two visible characters no token of the public BPE files goes on:
-#: their pre-tokenizers split there whatever stands further left or right. So the pieces are encoded apart.
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A piece of a text: a line end or nothing, then no white space at either end.
+_PIECE = re.compile(r"\n?\S(?:.*\S)?", re.DOTALL)
 
 
 @lru_cache(maxsize=4)
 def _load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -24,16 +26,22 @@ def _load(path: str):
 class Encoder:
     """Encodes texts with add_special_tokens=False; ids as little-endian unsigned 32-bit bytes.
 
-    Equal to encoding each text as one string. Pieces between blanks are remembered, up to ``limit``.
+    Equal to encoding each text as one string. The public BPE files' pre-tokenizers split before a single space or
+    line end between two visible characters, whatever stands further left or right, so the pieces between such
+    places are encoded apart and remembered. A text with other white space at a piece's end is encoded whole.
     """
 
-    _shared: dict[str, dict] = {}
+    _shared: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, limit: int = 300_000):
-        self.tokenizer, self.limit = _load(path), limit
-        self.memo = self._shared.setdefault(path, {})
+    def __new__(cls, path: str, limit: int = 900_000):
+        """One for each file in a Python worker, so that tasks share what is remembered."""
+        if path not in cls._shared:
+            cls._shared[path] = made = super().__new__(cls)
+            made.tokenizer, made.limit, made.memo, made.aged = _load(path), limit, {}, {}
+            made.mark = made._find_mark()
+        return cls._shared[path]
 
-    def encode(self, texts: list[str | None], block: int = 2_000_000) -> list[bytes]:
+    def encode(self, texts: list[str | None], block: int = 4_000_000) -> list[bytes]:
         out, held, size = [], [], 0
         for text in texts:
             held.append(text or "")
@@ -43,18 +51,59 @@ class Encoder:
                 held, size = [], 0
         return out + self._encode(held)
 
+    def _find_mark(self) -> int | None:
+        """The id of an empty line, if the tokenizer keeps it apart from the pieces on both sides."""
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        mark = plain("\n\n")
+        together = plain("a\n\n b.\n\n\nc\n\n 7")
+        return mark[0] if len(mark) == 1 and together == [*plain("a"), *mark, *plain(" b."), *mark, *plain("\nc"), *mark, *plain(" 7")] else None
+
+    def _piece_ids(self, pieces: list[str], group: int = 1000) -> list[bytes]:
+        """Ids of pieces, many in one text with empty lines between; a piece holds no empty line itself."""
+        if self.mark is None:
+            return self._ids(pieces)
+        out: list[bytes] = []
+        groups = [pieces[i : i + group] for i in range(0, len(pieces), group)]
+        for i in range(0, len(groups), 20):
+            joined = ["\n\n".join(g) for g in groups[i : i + 20]]
+            for g, e in zip(groups[i : i + 20], self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                marks = np.flatnonzero(ids == self.mark)
+                if len(marks) != len(g) - 1:
+                    out += self._ids(g)
+                    continue
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(data)])]
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        return out
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        pieces = [CUT.split(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join([memo[p] for p in ps]) for ps in pieces]
-        for p in new:
-            if len(p) > 64:
-                del memo[p]
+        """A piece is known by its text without the space before it; a line end before it stays."""
+        if len(self.memo) > self.limit:
+            self.memo, self.aged = {}, self.memo
+        memo, aged = self.memo, self.aged
+        pieces = [t.replace("\n", " \n").split(" ") for t in texts]
+        wanted: set[str] = set()
+        for ps in pieces:
+            wanted.update(ps[1:])
+        new = wanted - memo.keys()
+        known = new & aged.keys()
+        memo.update((p, aged[p]) for p in known)
+        new = [p for p in new - known if _PIECE.fullmatch(p)]
+        memo.update(zip(new, self._piece_ids([p if p[0] == "\n" else f" {p}" for p in new])))
+        first = self._ids([ps[0] if _PIECE.fullmatch(ps[0]) else "" for ps in pieces])
+        out = []
+        for text, ps, head in zip(texts, pieces, first):
+            try:
+                tail = b"".join(map(memo.__getitem__, ps[1:]))
+                out.append(head + tail if _PIECE.fullmatch(ps[0]) else self._ids([text])[0])
+            except KeyError:
+                out.append(self._ids([text])[0])
+        for p in filter(lambda p: len(p) > 64, new):
+            del memo[p]
         return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from provspark.llm.common import drop_path, running_start, scratch_path
 from provspark.llm.tokens import Encoder, _load
 
-WINDOW, AVERAGE, LEAST, MOST = 8, 256, 64, 1024
+WINDOW, AVERAGE, LEAST, MOST = 8, 512, 128, 2048
 
 
 def digest(data: bytes) -> bytes:
@@ -47,7 +47,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
     rolled = np.zeros(n, np.uint64)
     for k in range(min(WINDOW, n)):
         rolled[k:] += mixed[: n - k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(WINDOW)) % np.uint64(AVERAGE) == 0) + 1
+    marks = np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64(AVERAGE - 1) == 0) + 1
     ends, last = [], 0
     for m in marks.tolist():
         while m - last > MOST:
@@ -70,8 +70,8 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind, tail = Encoder(tokenizer), _narrow(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 total, hashes, payloads, roots = [], [], [], []
                 for raw in encoder.encode(part.column(1).to_pylist()):
                     ids = np.frombuffer(raw + tail, "<u4")
