@@ -37,7 +37,7 @@ class Encoder:
         """One for each file in a Python worker, so that tasks share what is remembered."""
         if path not in cls._shared:
             cls._shared[path] = made = super().__new__(cls)
-            made.tokenizer, made.limit, made.memo, made.aged = _load(path), limit, {}, {}
+            made.tokenizer, made.limit, made.memo, made.aged, made.heads = _load(path), limit, {}, {}, {}
             made.mark = made._find_mark()
         return cls._shared[path]
 
@@ -96,14 +96,18 @@ class Encoder:
         memo.update((p, aged[p]) for p in known)
         new = [p for p in new - known if _PIECE.fullmatch(p)]
         memo.update(zip(new, self._piece_ids([p if p[0] == "\n" else f" {p}" for p in new])))
-        first = self._ids([ps[0] if _PIECE.fullmatch(ps[0]) else "" for ps in pieces])
+        heads = self.heads
+        if len(heads) > self.limit // 10:
+            heads.clear()
+        starts = [p for p in {ps[0] for ps in pieces} - heads.keys() if _PIECE.fullmatch(p)]
+        heads.update(zip(starts, self._ids(starts)))
         out = []
-        for text, ps, head in zip(texts, pieces, first):
+        for text, ps in zip(texts, pieces):
             try:
-                tail = b"".join(map(memo.__getitem__, ps[1:]))
-                out.append(head + tail if _PIECE.fullmatch(ps[0]) else self._ids([text])[0])
-            except KeyError:
+                out.append(heads[ps[0]] + b"".join(map(memo.__getitem__, ps[1:])))
+            except KeyError:  # white space of another kind at some piece's end
                 out.append(self._ids([text])[0])
-        for p in filter(lambda p: len(p) > 64, new):
-            del memo[p]
+        for known, added in ((memo, new), (heads, starts)):
+            for p in filter(lambda p: len(p) > 64, added):
+                del known[p]
         return out
