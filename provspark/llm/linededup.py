@@ -83,12 +83,12 @@ def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORD
     place = F.struct("_id", "_th", "start", "lines")
     kept = found.groupBy("ck").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").drop("n")
     kept = materialize(kept, "line-keepers")
-    by_doc = kept.groupBy(F.col("keep._id").alias("_id"), F.col("keep._th").alias("_th")).agg(F.collect_list(F.struct("ck", "keep.start", "keep.lines")).alias("ks"))
+    by_doc = kept.groupBy(F.col("keep._id").alias("_id"), F.col("keep._th").alias("_th")).agg(F.collect_list(F.struct("ck", "keep")).alias("ks"))
     # both sides of this join, and of the last one, grow with the corpus: neither is broadcast
     first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select("text", F.explode("ks").alias("k"))
-    first = first.select(F.col("k.ck").alias("ck"), _lines_at(F.col("k.start"), F.col("k.lines")).alias("bytes"))
-    later = found.join(kept, "ck").where(place != F.col("keep")).select("_id", "_th", "start", "lines", "ck")
-    pairs = later.join(first, "ck").select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
+    first = first.select(F.col("k.ck").alias("ck"), F.col("k.keep").alias("keep"), _lines_at(F.col("k.keep.start"), F.col("k.keep.lines")).alias("bytes"))
+    # one join on the chunk, each side an exchange of its own, so that AQE can split a chunk that very many documents have
+    pairs = found.join(first, "ck").where(place != F.col("keep")).select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
     return pairs.groupBy("_id", "_th").agg(F.collect_set("r").alias("rm"))
 
 
