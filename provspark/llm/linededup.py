@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.llm.common import WORD, materialize
@@ -43,20 +43,45 @@ def _starts(modulus: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("l") - 1), first)
 
 
+def _passages(need: int) -> Column:
+    """The shortest stretches of at least ``need`` words and two lines in ``l`` that begin, or end, at each line with words.
+
+    Wherever a passage of ``need`` words stands, the stretches from its lines are the same, and together they cover
+    all of it. Lines without a word lie inside stretches only; so a line is in at most ``2 * need`` of them.
+    """
+    numbered = F.transform("l", lambda x, k: F.struct(k.alias("k"), (x["pos"] - k).alias("run"), x["words"].alias("words")))
+
+    def reach(part: Column, own: Column) -> Column:
+        none = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("k"))
+        grow = lambda a, x: F.when((a["words"] >= need) | (x["run"] != own["run"]), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), x["k"].alias("k")))
+        return F.aggregate(part, none, grow, lambda a: F.when(a["words"] >= need, a["k"]))
+
+    def stretches(z: Column) -> Column:
+        ahead = F.transform(z, lambda x, i: F.struct(x["k"].alias("a"), reach(F.slice(z, i + 1, F.lit(need)), x).alias("b")))
+        back = F.transform(z, lambda x, i: F.struct(reach(F.reverse(F.slice(z, F.greatest(i - (need - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(need)))), x).alias("a"), x["k"].alias("b")))
+        return F.array_distinct(F.filter(F.concat(ahead, back), lambda w: w["a"] < w["b"]))
+
+    # an array of one, so that the inner array is made once for each document
+    return F.flatten(F.transform(F.array(F.filter(numbered, lambda x: x["words"] > 0)), stretches))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
     return plain.select("_id", F.xxhash64("text").alias("_th"), "text").where("text is not null")
 
 
-def chunks(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
+def chunks(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
     """``(_id, _th, start, lines, ck)``: candidate chunks of lines that all occur more than once in the corpus.
 
     A chunk counts if it has two lines with a word, or one long line. ck hashes the chunk's line hashes.
+    ``passages`` adds the stretches of ``_passages``, under keys of their own.
     """
-    line = F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.struct(line_hash(x).alias("h"), F.coalesce((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), F.lit(False)).alias("long"), x.rlike(WORD).alias("solid"))))
+    fields = lambda x: [line_hash(x).alias("h"), F.coalesce((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), F.lit(False)).alias("long"), x.rlike(WORD).alias("solid")]
+    words = lambda x: [F.least(F.regexp_count(x, F.lit(WORD)), F.lit(long_words)).alias("words")] if passages else []
+    line = F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.struct(*fields(x), *words(x))))
     rows = _keyed(docs).select("_id", "_th", line.alias("pos", "x")).select("_id", "_th", "pos", "x.*")
     often = materialize(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "line-hashes")  # a table, so that AQE can split the join at a hot line
-    repeated = rows.join(often, "h").select("_id", "_th", F.struct("pos", "h", "c", "long", "solid").alias("x"))
+    repeated = rows.join(often, "h").select("_id", "_th", F.struct("pos", "h", "c", "long", "solid", *(["words"] if passages else [])).alias("x"))
     runs = repeated.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("x")).alias("l")).withColumn("s", _starts(modulus))
     cut = F.transform("s", lambda a, k: F.slice("l", a + 1, F.coalesce(F.get("s", k + 1), F.size("l")) - a))
     shaped = F.transform(
@@ -69,43 +94,76 @@ def chunks(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS
             F.xxhash64(F.transform(c, lambda x: x["h"])).alias("ck"),
         ),
     )
-    found = runs.select("_id", "_th", F.explode(F.filter(shaped, lambda c: c["long"] | (c["solid"] >= 2))).alias("c"))
+    counting = F.transform(F.filter(shaped, lambda c: c["long"] | (c["solid"] >= 2)), lambda c: F.struct(c["start"].alias("start"), c["lines"].alias("lines"), c["ck"].alias("ck")))
+    if passages:
+
+        def stretch(w: Column) -> Column:
+            lines = w["b"] - w["a"] + 1
+            hashes = F.transform(F.slice("l", w["a"] + 1, lines), lambda x: x["h"])
+            return F.struct(F.get("l", w["a"])["pos"].alias("start"), lines.alias("lines"), F.xxhash64(hashes, F.lit("passage")).alias("ck"))
+
+        counting = F.concat(counting, F.transform(_passages(long_words), stretch))
+    found = runs.select("_id", "_th", F.explode(counting).alias("c"))
     return found.select("_id", "_th", "c.start", "c.lines", "c.ck")
 
 
-def _lines_at(start: Column, lines: Column) -> Column:
-    return F.array_join(F.slice(F.split("text", "\n", -1), start + 1, lines), "\n")
+def _lines_at(split: Column, start: Column, lines: Column) -> Column:
+    return F.array_join(F.slice(split, start + 1, lines), "\n")
+
+
+def _merged(pairs: DataFrame) -> DataFrame:
+    """Of ``(_id, _th, start, lines, keep)``, chunks that touch or overlap and have the same shift to the same earlier text, as one."""
+    group = ["_id", "_th", "kid", "kth", "shift"]
+    order = Window.partitionBy(*group).orderBy("start")
+    flat = pairs.select("_id", "_th", F.col("keep._id").alias("kid"), F.col("keep._th").alias("kth"), (F.col("start") - F.col("keep.start")).alias("shift"), "start", (F.col("start") + F.col("lines")).alias("end"))
+    flat = flat.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    flat = flat.withColumn("part", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = flat.groupBy(*group, "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("lines", F.col("end") - F.col("start"))
+    keep = F.struct(F.col("kid").alias("_id"), F.col("kth").alias("_th"), (F.col("start") - F.col("shift")).alias("start"), "lines")
+    return whole.select("_id", "_th", "start", "lines", keep.alias("keep"))
 
 
-def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
     """``(_id, _th, rm)``: for each document, the chunks an earlier place of the corpus has, with that place's bytes."""
-    found = materialize(chunks(docs, modulus, long_words), "line-chunks")
+    found = materialize(chunks(docs, modulus, long_words, passages), "line-chunks")
     place = F.struct("_id", "_th", "start", "lines")
     kept = found.groupBy("ck").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").drop("n")
     kept = materialize(kept, "line-keepers")
+    if passages:
+        # stretches overlap: one that reaches into its own earlier place stays. Bytes go once a passage, not once a stretch
+        own = (F.col("_id") == F.col("keep._id")) & (F.col("_th") == F.col("keep._th")) & (F.col("start") < F.col("keep.start") + F.col("keep.lines"))
+        found = _merged(found.join(kept, "ck").where((place != F.col("keep")) & ~own)).withColumn("ck", F.xxhash64("keep"))
+        found = materialize(found, "line-passages")
+        kept = found.select("ck", "keep").distinct()
+        same = F.col("at") == F.col("keep")
+        found = found.withColumnRenamed("keep", "at")
+    else:
+        same = place != F.col("keep")
     by_doc = kept.groupBy(F.col("keep._id").alias("_id"), F.col("keep._th").alias("_th")).agg(F.collect_list(F.struct("ck", "keep")).alias("ks"))
     # both sides of this join, and of the last one, grow with the corpus: neither is broadcast
-    first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select("text", F.explode("ks").alias("k"))
-    first = first.select(F.col("k.ck").alias("ck"), F.col("k.keep").alias("keep"), _lines_at(F.col("k.keep.start"), F.col("k.keep.lines")).alias("bytes"))
+    bytes_at = lambda split: F.transform("ks", lambda k: F.struct(k["ck"].alias("ck"), k["keep"].alias("keep"), _lines_at(split, k["keep"]["start"], k["keep"]["lines"]).alias("bytes")))
+    first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select(F.explode(F.flatten(F.transform(F.array(F.split("text", "\n", -1)), bytes_at))).alias("k")).select("k.*")
     # one join on the chunk, each side an exchange of its own, so that AQE can split a chunk that very many documents have
-    pairs = found.join(first, "ck").where(place != F.col("keep")).select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
+    pairs = found.join(first, "ck").where(same).select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
     return pairs.groupBy("_id", "_th").agg(F.collect_set("r").alias("rm"))
 
 
-def without_repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, counted: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, counted: bool = False, passages: bool = False) -> DataFrame:
     """``docs`` with every chunk of lines removed that an earlier place has, byte for byte; n_chars, if there, is renewed.
 
     The earliest place is that of the smallest doc_id (nulls first), text hash and line. Chunks are cut by
     content (see ``_starts``), so a passage moved to other lines is cut alike. Only chunks of two lines with
-    words, or one line of ``long_words`` words, go. All rows stay: a text that loses every line is empty; null
+    words, or one line of ``long_words`` words, go. With ``passages`` every run of lines goes as well that has
+    ``long_words`` words or more together and that an earlier place has, wherever chunks are cut; the first copy
+    of each removed line stays. All rows stay: a text that loses every line is empty; null
     and empty texts are unchanged. Repeated rows (equal id and text) are one document and are treated alike. ``counted`` adds ``removed_lines``.
     Extra columns pass through, save names that begin with ``_``.
     """
     names = docs.columns
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(repeats(docs, modulus, long_words).hint("merge"), ["_id", "_th"], "left")
-    equal = F.filter("rm", lambda r: _lines_at(r["start"], r["lines"]) == r["bytes"])
-    joined = joined.withColumn("_rm", F.flatten(F.transform(equal, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1))))
+    joined = keyed.join(repeats(docs, modulus, long_words, passages).hint("merge"), ["_id", "_th"], "left")
+    equal = F.flatten(F.transform(F.array(F.split("text", "\n", -1)), lambda split: F.filter("rm", lambda r: _lines_at(split, r["start"], r["lines"]) == r["bytes"])))
+    joined = joined.withColumn("_rm", F.array_distinct(F.flatten(F.transform(equal, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1)))))
     split = F.split("text", "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_rm"))
     joined = joined.withColumn("_lines", split).withColumn("_rest", rest)
