@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import materialize, text_bytes, words_of
 from provspark.llm.components import connected_components
+from provspark.llm.decontam import WordHashes, shingle_hashes
 
 #: Most shingle hashes whose bits are spread out at once.
 BLOCK = 1 << 15
+#: Near copies: words of a shingle, least Jaccard similarity, MinHash bands and rows of a band. A pair at 0.8 shares no
+#: band with probability (1 - 0.8^5)^32 = 3.0e-6.
+NEAR_WIDTH, NEAR_LEAST, BANDS, BAND_ROWS = 5, 0.8, 32, 5
+_SEEDS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -145,3 +151,100 @@ def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
     groups = simhash_groups(docs, threshold)
     losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes, each from BAND_ROWS smallest values; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[None, at : at + 2048] * _SEEDS[0][:, None] + _SEEDS[1][:, None]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * _FOLD
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, th, fp, bands)`` of every document; th is a hash of the text as it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            fps = np.array([fingerprint(x) for x in texts], dtype=np.uint64)
+            keys = [bands(shingle_hashes(memo.of(words_of(x)), width)).view(np.int64) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
+
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(th, s)``: the distinct shingle hashes of each text in ``wanted(th)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(memo.of(words_of(x)), width)).view(np.int64) for x in text_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "s"])
+
+    own = docs.select(text_hash().alias("th"), F.col("text").cast("string").alias("text")).join(wanted, "th", "left_semi")
+    return own.dropDuplicates(["th"]).select("th", "text").mapInArrow(run, "th long, s array<long>")
+
+
+def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_LEAST, rounds: int = 3) -> DataFrame:
+    """``(a, b)``: fingerprints that join, beside the links ``given``, all texts that share a band and are similar.
+
+    Texts of a band are first compared with one of them, by another choice each round, and then all pairs that
+    are not yet in one component: a large group of near copies is joined without the square of its size, and
+    no pair that shares a band stays unjoined at ``least`` or more. Similarity is the Jaccard of the distinct
+    64-bit shingle hashes. Texts under ``width`` words have no band: they are near copies only if equal.
+    """
+    members = signed.select("th", "fp", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
+    members = materialize(members.join(shared, "key").distinct(), "near-members")
+    sets = materialize(_shingled(docs, members.select("th").distinct(), width), "near-sets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), "ta").join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")), "tb")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return sized.where(both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+    stars = None
+    for k in range(rounds):
+        centre = members.groupBy("key").agg(F.min_by(F.struct("th", "fp"), F.struct(F.xxhash64("th", F.lit(k)), "th")).alias("x"))
+        pairs = members.join(centre, "key").where("fp <> x.fp").select(F.col("x.th").alias("ta"), F.col("th").alias("tb"), F.col("x.fp").alias("a"), F.col("fp").alias("b"))
+        stars = pairs if stars is None else stars.unionByName(pairs)
+    found = materialize(similar(stars.distinct()), "near-stars")
+    parts = connected_components(given.unionByName(found))
+    labelled = members.join(parts, members.fp == parts.node, "left").select("key", "th", "fp", F.coalesce("component", "fp").alias("c"))
+    labelled = materialize(labelled, "near-labels")
+    split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    open_ = labelled.join(split, "key")
+    left, right = (open_.select("key", F.col("th").alias(f"t{x}"), F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    rest = left.join(right, "key").where("ca < cb").select("ta", "tb", "a", "b").distinct()
+    return found.unionByName(similar(rest))
+
+
+def keep_near(docs: DataFrame, threshold: int = 2, width: int = NEAR_WIDTH, least: float = NEAR_LEAST) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Near copies are texts within ``threshold`` bits, as in ``simhash_groups``, or of Jaccard similarity ``least`` or
+    more over shingles of ``width`` words. Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept as well.
+    """
+    signed = materialize(_signed(docs, width), "near-signed")
+    close = materialize(links(signed.select("fp").distinct(), threshold), "simhash-links")
+    parts = connected_components(close.unionByName(near_links(docs, signed, close, width, least)))
+    rows = signed.join(parts, signed.fp == parts.node, "left").select("doc_id", F.coalesce("component", "fp").alias("component"))
+    rows = materialize(rows, "near-rows")
+    first = rows.groupBy("component").agg(F.min("doc_id").alias("first"))
+    losers = rows.join(first, "component").where("doc_id <> first").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
