@@ -153,6 +153,9 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no test item; rows with a null doc_id are kept."""
-    found = contained_items(docs, items, width, threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that contain no test item. Rows are told by their text, whatever their id: a row without an id
+    goes like others, and a clean text stays beside a contaminated one of the same id.
+    """
+    own = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    found = contained_items(own.select(F.col("_th").alias("doc_id"), "text"), items, width, threshold).select(F.col("doc_id").alias("_th")).distinct()
+    return own.join(found, "_th", "left_anti").select(*docs.columns)

@@ -185,6 +185,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents the classifier accepts. A repeated doc_id goes only if all its texts are rejected."""
-    good = score(docs, train(docs, labels), threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi").select(*docs.columns)
+    """The documents the classifier accepts, told by their text, so that an accepted text takes no other of its id along."""
+    own = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    good = score(own.withColumn("doc_id", F.col("_th")), train(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("_th")).distinct()
+    return own.join(good, "_th", "left_semi").select(*docs.columns)

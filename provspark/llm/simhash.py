@@ -235,16 +235,23 @@ def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int
 
 
 def keep_near(docs: DataFrame, threshold: int = 2, width: int = NEAR_WIDTH, least: float = NEAR_LEAST) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id, then text hash; null ids come last.
 
     Near copies are texts within ``threshold`` bits, as in ``simhash_groups``, or of Jaccard similarity ``least`` or
-    more over shingles of ``width`` words. Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept as well.
+    more over shingles of ``width`` words. Rows are told apart by id and text, so a doc_id with two texts can lose
+    one of them, rows without an id go like others, and of equal rows one stays.
     """
     signed = materialize(_signed(docs, width), "near-signed")
     close = materialize(links(signed.select("fp").distinct(), threshold), "simhash-links")
     parts = connected_components(close.unionByName(near_links(docs, signed, close, width, least)))
-    rows = signed.join(parts, signed.fp == parts.node, "left").select("doc_id", F.coalesce("component", "fp").alias("component"))
-    rows = materialize(rows, "near-rows")
-    first = rows.groupBy("component").agg(F.min("doc_id").alias("first"))
-    losers = rows.join(first, "component").where("doc_id <> first").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    rows = signed.join(parts, signed.fp == parts.node, "left").select("doc_id", "th", F.coalesce("component", "fp").alias("component"))
+    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    first = rows.groupBy("component").agg(F.min(key).alias("k"))
+    first = materialize(first.select("k.*"), "near-first")
+    own = docs.withColumn("_th", text_hash())
+    kept = own.join(first, own["doc_id"].cast("long").eqNullSafe(first["id"]) & (own["_th"] == first["th"]), "left_semi")
+    again = signed.groupBy("doc_id", "th").count().where("count > 1")
+    again = again.join(first, again["doc_id"].eqNullSafe(first["id"]) & (again["th"] == first["th"]), "left_semi")
+    if again.head(1):
+        kept = kept.dropDuplicates(["doc_id", "_th"])
+    return kept.select(*docs.columns)
