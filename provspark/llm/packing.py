@@ -6,7 +6,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -82,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
     extra = ["ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder(path)
         part = TaskContext.get().partitionId()
         windows, serial, rows = Windows(capacity, open_windows), 0, []
 
@@ -92,22 +91,22 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
             serial += 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece_of = batch.slice(at, 1024)
-                for doc, raw in zip(piece_of.column(0).to_pylist(), encoder.encode(piece_of.column(1).to_pylist())):
-                    raw += tail
-                    total = len(raw) // 4
-                    for start in range(0, total, capacity):
-                        ids = raw[4 * start : 4 * (start + capacity)]
-                        size = len(ids) // 4
-                        piece = (doc, start, size, zlib.crc32(ids), total, *([ids] if with_ids else []))
+            at = 0
+            for ids, ends in encoder.blocks(batch.column(1), end_id):
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                for doc, begin, end in zip(batch.column(0).slice(at, len(ends)).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    for start in range(0, end - begin, capacity):
+                        size = min(capacity, end - begin - start)
+                        own = raw[4 * (begin + start) : 4 * (begin + start + size)]
+                        piece = (doc, start, size, zlib.crc32(own), end - begin, *([bytes(own)] if with_ids else []))
                         if size == capacity:
                             emit([piece])
                         elif closed := windows.place(piece, size):
                             emit(closed)
-                if len(rows) > 5000:
-                    yield _columns(rows, [*extra, "_part"])
-                    rows = []
+                    if len(rows) > 5000:
+                        yield _columns(rows, [*extra, "_part"])
+                        rows = []
+                at += len(ends)
         for pieces in windows.rest():
             rows.extend((*x, part) for x in _sequence(pieces, None))
         yield _columns(rows, [*extra, "_part"])

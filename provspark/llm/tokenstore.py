@@ -13,7 +13,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +35,25 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: a rolling hash of the last WINDOW ids has its low bits clear.
-
-    Chunks have LEAST to MOST ids, the last one aside. Equal runs of ids are cut alike wherever they stand.
-    """
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: a rolling hash of the last WINDOW ids has its low bits clear."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):
-        rolled[k:] += mixed[: n - k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64(AVERAGE - 1) == 0) + 1
+    rolled = mixed.copy()
+    for k in range(1, min(WINDOW, len(ids))):
+        rolled[k:] += mixed[: len(ids) - k] << np.uint64(k)
+    return np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64(AVERAGE - 1) == 0) + 1
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of content-defined chunks, each of LEAST to MOST ids, the last one aside. Equal runs are cut alike wherever they stand."""
+    return _cuts(len(ids), marks(ids).tolist())
+
+
+def _cuts(n: int, marks: list[int]) -> list[int]:
+    """``cut_points`` of ``n`` ids from their marks. LEAST is over WINDOW, so marks may be found over many documents at once."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -68,23 +72,28 @@ def _narrow(path: str) -> str:
 
 def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, kind, tail = Encoder(tokenizer), _narrow(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, kind = Encoder(tokenizer), _narrow(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                total, hashes, payloads, roots = [], [], [], []
-                for raw in encoder.encode(part.column(1).to_pylist()):
-                    ids = np.frombuffer(raw + tail, "<u4")
-                    ends = cut_points(ids)
-                    spans = [ids[a:b] for a, b in zip([0, *ends], ends)]
-                    total.append(len(ids))
-                    hashes.append([digest(s.tobytes()) for s in spans])
-                    payloads.append([s.astype(kind).tobytes() for s in spans])
-                    roots.append(merkle(hashes[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(total, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary())],
-                    ["doc_id", "n_tokens", "hashes", "payloads", "root"],
-                )
+            at = 0
+            for ids, ends in encoder.blocks(batch.column(1), end_id):
+                hashes, payloads, roots, firsts = [], [], [], [0]
+                found, starts = marks(ids), np.concatenate([[0], ends[:-1]])
+                low, high = np.searchsorted(found, starts, "right").tolist(), np.searchsorted(found, ends, "right").tolist()
+                wide, narrow = memoryview(ids.astype("<u4", copy=False)).cast("B"), memoryview(ids.astype(kind)).cast("B")
+                step = len(narrow) // max(len(ids), 1)
+                for start, end, i, j in zip(starts.tolist(), ends.tolist(), low, high):
+                    cuts = _cuts(end - start, (found[i:j] - start).tolist())
+                    spans = [(start + a, start + b) for a, b in zip([0, *cuts], cuts)]
+                    own = [digest(wide[4 * a : 4 * b]) for a, b in spans]
+                    hashes += own
+                    payloads += [bytes(narrow[step * a : step * b]) for a, b in spans]
+                    roots.append(merkle(own))
+                    firsts.append(len(hashes))
+                offsets = pa.array(firsts, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.binary())) for x in (hashes, payloads)]
+                cols = [batch.column(0).slice(at, len(ends)), pa.array(np.diff(ends, prepend=0).astype(np.int64)), *lists, pa.array(roots, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "hashes", "payloads", "root"])
+                at += len(ends)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, n_tokens long, hashes array<binary>, payloads array<binary>, root binary")
@@ -116,7 +125,9 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     """One row a file of recipes: file name, documents, tokens, and the Merkle root of its documents in order."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["start"].to_pylist(), table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), table["root"].to_pylist()))
+        rows = sorted(zip(table["start"].to_pylist(), table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), table["root"].to_pylist()), key=lambda r: (r[0], r[2], r[3]))
+        if any(a[0] + a[2] != b[0] for a, b in zip(rows, rows[1:])):
+            raise ValueError(f"documents of {key[0].as_py()} do not join up")
         root = merkle([_leaf(d, s, n, r) for s, d, n, r in rows])
         return pa.table({"file": [key[0].as_py()], "start": [rows[0][0]], "documents": [len(rows)], "n_tokens": [sum(x[2] for x in rows)], "root": [root]})
 
@@ -125,9 +136,22 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest's rows that its recipe files no longer match; none if the store is whole."""
-    stored = spark.read.parquet(f"{path}/manifest")
-    return stored.join(_manifest(spark.read.parquet(f"{path}/recipes")), ["file", "start", "documents", "n_tokens", "root"], "left_anti")
+    """``(file)``: recipe files and manifest rows that differ in documents, tokens, start or Merkle root, or have no other side; none if the store is whole."""
+    stored, found = spark.read.parquet(f"{path}/manifest"), _manifest(spark.read.parquet(f"{path}/recipes"))
+    fields = ["file", "start", "documents", "n_tokens", "root"]
+    other = stored.select(*fields, F.lit(1).alias("side")).unionByName(found.select(*fields, F.lit(2).alias("side")))
+    return other.groupBy(fields).agg(F.sum("side").alias("s")).where("s <> 3").select("file").distinct()
+
+
+def _check(spark: SparkSession, path: str) -> None:
+    """Raise unless the manifest fits the recipe files and each file starts where the one before ends."""
+    if wrong := check_manifest(spark, path).head(1):
+        raise ValueError(f"{wrong[0].file} and the manifest differ")
+    total = 0
+    for r in spark.read.parquet(f"{path}/manifest").orderBy("start", "n_tokens").select("file", "start", "n_tokens").toLocalIterator():  # a row a file
+        if r.start != total:
+            raise ValueError(f"{r.file} does not start where the file before it ends")
+        total += r.n_tokens
 
 
 def _sums(spark: SparkSession, path: str, kind: str, payload: bool) -> DataFrame:
@@ -160,11 +184,12 @@ def joined_crc(first: int, second: int, size: int) -> int:
 def read_store(spark: SparkSession, path: str, tokenizer: str, ids: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of every document, put together from the files.
 
-    Every chunk is read and checked against its hash once, every document's chunks against its Merkle root, and
-    its length against the recipe; a difference or a missing chunk raises. Without ``ids`` only each chunk's
+    Every chunk is read and checked against its hash once, every document's chunks against its Merkle root, its length
+    against the recipe, and every recipe file against the manifest; a difference or a missing chunk raises. Without ``ids`` only each chunk's
     length and crc32 travel to the documents, not its ids: a much-used chunk costs 20 bytes a use.
     """
     kind = _narrow(tokenizer)
+    _check(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash"))
     fields = ["pos", "hash", "n", "crc", *(["payload"] if ids else [])]

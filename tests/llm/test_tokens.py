@@ -25,6 +25,40 @@ def test_pieces_encode_as_the_whole(name, texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(name, t) for t in texts]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings_and_white_space_encode_as_the_library_does(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path(name))
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b", "x <|endoftext|>", "two  spaces", " lead", "tail ", "\nline", "a\n\nb", "a \n b", "tab\there\r\nis", "\u2003wide\u00a0space", "", None]
+    texts += ["Ünder ßtraße. ÉCOLE*** naïve,", "don't YOU'LL 12,5 x9", "ab" * 200 + "!?", "İstanbul ﬁ x\u0301y", "\x1cctl\x00 nul", "漢字 かな"]
+    got = Encoder(public.path(name)).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_encoder_forgets_and_encodes_alike(name):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéÀ"), rng.integers(1, 7))) + str(rng.choice(["", ".", "***", "'s"])) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(30)]
+    Encoder._shared.pop(public.path(name), None)
+    small = Encoder(public.path(name), limit=500)
+    got = [x for t in texts for x in small.encode([t])]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(name, t) for t in texts]
+    assert len(small.start) < 5000
+    Encoder._shared.pop(public.path(name))
+
+
+def test_changed_manifest_is_noticed(spark, corpus):
+    path = scratch_path(spark, "store")
+    tokenstore.write_store(corpus, path, public.path(FILES[0]))
+    rows = [r.asDict() | {"n_tokens": r.n_tokens + 1} for r in spark.read.parquet(f"{path}/manifest").collect()]
+    spark.createDataFrame(rows, spark.read.parquet(f"{path}/manifest").schema).write.mode("append").parquet(f"{path}/manifest")
+    assert tokenstore.check_manifest(spark, path).count() > 0
+    with pytest.raises(Exception, match="manifest"):
+        tokenstore.read_store(spark, path, public.path(FILES[0]))
+
+
 def test_store_round_trip(spark, corpus):
     path = scratch_path(spark, "store")
     tokenstore.write_store(corpus, path, public.path(FILES[0]))
