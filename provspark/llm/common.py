@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from math import inf
-
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.scratch import drop_path, materialize, scratch_path, shared_dir
 
-__all__ = ["WORD", "drop_path", "id_buckets", "materialize", "running_start", "scratch_path", "shared_dir", "text_bytes", "words_of"]
+__all__ = ["WORD", "drop_path", "materialize", "running_start", "scratch_path", "shared_dir", "text_bytes", "whole_texts", "words_of"]
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,45 +22,33 @@ def text_bytes(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def whole_texts(column: pa.Array) -> pa.Array:
+    """A string column, or a slice of one, as an array of its own (null: empty) with offsets from 0: some Arrow functions misread others."""
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    return pa.concat_arrays([texts, pa.array([], pa.large_string())])
+
+
 def words_of(raw: bytes | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased (bytes.lower and bytes.split touch ASCII only)."""
     return raw.lower().split() if raw else []
 
 
-def id_buckets(df: DataFrame, order: str, per_bucket: int = 100_000) -> tuple[DataFrame, list]:
-    """Add ``_bucket``: the ordinal of an ascending range of ``order``; null ids come first.
-
-    The range borders are quantiles of the whole column; their number follows the row count.
-    """
-    rows = df.count()
-    parts = max(1, min(4096, -(-rows // per_bucket)))
-    if rows and parts < 16:
-        parts = 16 if rows > 1000 else 1
-    borders: list = []
-    if parts > 1:
-        found = df.approxQuantile(order, [i / parts for i in range(1, parts)], min(0.01, 0.25 / parts))
-        borders = sorted({float(int(x)) for x in found})
-    if not borders:
-        return df.withColumn("_bucket", F.lit(0)), borders
-    # a binary search among at most 4,095 borders; ids that are one as doubles share a range
-    ranges = Bucketizer(splits=[-inf, *borders, inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
-    placed = ranges.transform(df.withColumn("_at", F.coalesce(F.col(order), F.lit(0)).cast("double")))
-    return placed.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int"))).drop("_at", "_range"), borders
-
-
-def running_start(df: DataFrame, order: str, ties: list[str], amount: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``amount`` over all rows before this one, by ``order`` then ``ties``.
+def running_start(df: DataFrame, order: str, ties: list[str], amount: str, out: str, per_range: int = 100_000) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over all rows before this one, by ``order`` (nulls first) then ``ties``.
 
-    Ranges of ids are summed apart, so no task holds more than one range; their totals, one row a range,
-    are summed in a second, small step and joined back.
+    Rows are dealt out in ranges of order and ties, so many that one has about ``per_range`` rows however large the
+    table, null and equal ids spread by their ties; a range is summed apart. The ranges' totals, a row each, are
+    summed in a second, small step and joined back. Rows equal in order and ties take any order among themselves.
     """
-    df, _ = id_buckets(df, order)
-    totals = df.groupBy("_bucket").agg(F.sum(amount).alias("_total"))
-    before = totals.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket")) - F.col("_total")).alias("_before"))
-    own = Window.partitionBy("_bucket").orderBy(F.col(order).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    key = [F.col(order).asc_nulls_first(), *(F.col(t).asc_nulls_first() for t in ties)]
+    ranges = max(1, -(-df.count() // per_range))
+    ranged = materialize(df.repartitionByRange(ranges, *key).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
+    before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_before"))
+    own = Window.partitionBy("_range").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_inner", F.coalesce(F.sum(amount).over(own), F.lit(0)))
-        .join(F.broadcast(before), "_bucket")
+        ranged.withColumn("_inner", F.coalesce(F.sum(amount).over(own), F.lit(0)))
+        .join(F.broadcast(before), "_range")  # a row for each ``per_range`` documents
         .withColumn(out, (F.col("_inner") + F.col("_before")).cast("long"))
-        .drop("_inner", "_before", "_bucket")
+        .drop("_inner", "_before", "_range")
     )

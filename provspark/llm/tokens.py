@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from provspark.llm.common import whole_texts
+
 #: A piece of a text: a line end or nothing, then no white space at either end.
 _PIECE = re.compile(r"\n?\S(?:.*\S)?", re.DOTALL)
 #: Letters whose normal form is one letter each; they make one pre-token, apart from the marks that may follow.
@@ -209,7 +211,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
-            yield self._block(pc.fill_null(texts.slice(at, to - at), "").cast(pa.large_string()), end_id)
+            yield self._block(whole_texts(texts.slice(at, to - at)), end_id)
             at = to
 
     def _block(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
