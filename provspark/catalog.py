@@ -37,5 +37,5 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return register
 
 
-for _module in ("history", "comparison", "records", "registry", "scalars", "documents"):
+for _module in ("history", "comparison", "records", "registry", "scalars", "documents", "workspace"):
     import_module(f"provspark.plans.{_module}_queries")

@@ -8,6 +8,10 @@ import sys
 from collections.abc import Iterable
 from importlib import metadata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from provspark.functions import canon
 from provspark.functions.canon import json_digest
 
 #: Editions, and the most attachments an origin lists.
@@ -49,5 +53,14 @@ def check_origin(origin: dict) -> dict:
     return {"fingerprint": fingerprint, "name": name, "attachments": list(files)}
 
 
+def origin_sound(text: Column) -> Column:
+    """Whether JSON text is a whole capsule origin, as ``check_origin`` has it; text that is no JSON is not."""
+
+    def sound(found: str) -> bool:
+        return check_origin(canon.load_json(found)) is not None
+
+    return F.coalesce(canon._mapped(sound, "boolean")(text), F.lit(False))
+
+
 def media_type(name: str) -> str:
     return mimetypes.guess_type(name)[0] or "application/octet-stream"

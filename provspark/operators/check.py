@@ -103,3 +103,25 @@ def declared_against_present(declared: DataFrame, present: DataFrame) -> DataFra
         otherwise="available",
     )
     return d.join(p, "name", "full_outer").select("name", status.alias("status"))
+
+
+def object_index(objects: DataFrame) -> DataFrame:
+    """``(object_uuid, kind, path, n, duplicated)``: where each object is saved; one that stands twice is an error of the file."""
+    found = objects.groupBy("object_uuid").agg(F.min("kind").alias("kind"), F.min("path").alias("path"), F.count("*").alias("n"))
+    return found.withColumn("duplicated", F.col("n") > 1)
+
+
+def has_block(workspaces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(workspace_id, present)``: whether a workspace has a block of provenance."""
+    there = blocks.select("workspace_id").distinct().withColumn("_there", F.lit(True))
+    return workspaces.select("workspace_id").distinct().join(there, "workspace_id", "left").select("workspace_id", F.coalesce("_there", F.lit(False)).alias("present"))
+
+
+def shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both, once each; none if they are disjoint."""
+    return left.intersect(right)
+
+
+def timings(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, n, median, least, most)`` of measured values, the median exact."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))

@@ -169,3 +169,28 @@ def compared_artifacts(ref: DataFrame, cand: DataFrame, keys: Sequence[str], rul
     plain = lambda df, p: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", F.when(F.col("dtype") == "text", F.col("texts")).otherwise(F.transform("texts", lambda t: F.when(t.isNull(), "").otherwise("0"))).alias("t")))).alias(p))
     texts = plain(a, "_a").join(plain(b, "_b"), list(keys)).select(*keys, F.col("_a").eqNullSafe(F.col("_b")).alias("_texts"))
     return found.join(texts, list(keys)).withColumn("verdict", F.when(F.col("_texts"), F.col("verdict")).otherwise("different")).drop("_texts")
+
+
+def geometry_rows(artifacts: DataFrame, keys: Sequence[str], coords: str = "coords") -> DataFrame:
+    """A geometry artifact, ``coords array<array<double>>``, as one row of numbers in order: (keys, ord, row, dtype, values)."""
+    return artifacts.select(*keys, F.lit(0).alias("ord"), F.lit("coords").alias("row"), F.lit("float64").alias("dtype"), F.flatten(coords).alias("values"))
+
+
+def artifact_structure(kind: Column, shape: Column, roi: Column, names: Column) -> Column:
+    """What of two results must be equal before their numbers are compared; titles and attributes do not count."""
+    return F.to_json(F.struct(kind.alias("result_kind"), shape.alias("kind"), roi.alias("roi_indices"), F.when(kind != "geometry", names).alias("names")), {"ignoreNullFields": "false"})
+
+
+def object_rows(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Objects as the rows that the rules compare: (keys, ord, row, dtype, values).
+
+    ``objects(kind, x, y, dx, dy, data, x0, y0, sx, sy, xcoords, ycoords)``. A signal gives x, y, and uncertainties that are
+    there and not all NaN. An image gives its data in C order, then origin and steps, or its coordinates where it has some.
+    """
+    real = lambda c: F.col(c).isNotNull() & F.exists(c, lambda v: ~F.isnan(v))
+    row = lambda name, values: F.struct(F.lit(name).alias("row"), values.cast("array<double>").alias("values"))
+    signal = F.array(row("x", F.col("x")), row("y", F.col("y")), F.when(real("dx"), row("dx", F.col("dx"))), F.when(real("dy"), row("dy", F.col("dy"))))
+    uniform = F.col("xcoords").isNull()
+    image = F.concat(F.array(row("data", F.col("data"))), F.when(uniform, F.array(*[row(n, F.array(F.col(c))) for n, c in (("x0", "x0"), ("y0", "y0"), ("dx", "sx"), ("dy", "sy"))])).otherwise(F.array(row("xcoords", F.col("xcoords")), row("ycoords", F.col("ycoords")))))
+    listed = F.array_compact(F.when(F.col("kind") == "signal", signal).otherwise(image))
+    return objects.select(*keys, F.posexplode(listed).alias("ord", "r")).select(*keys, "ord", "r.row", F.lit("float64").alias("dtype"), "r.values")

@@ -52,13 +52,21 @@ def from_json(documents: DataFrame, text: str = "text") -> Ledgers:
 
 
 def to_json(ledgers: Ledgers) -> DataFrame:
-    """``(workspace_id, text)``: each ledger's states and activities as one compact JSON document, in order."""
+    """``(workspace_id, text)``: each ledger whole, as one compact JSON document, in order; environments as they were recorded."""
     keep = lambda df, drop: F.struct(*[c for c in df.columns if c not in drop])
-    states = ledgers.states.groupBy("workspace_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pos", "state_id", F.to_json(keep(ledgers.states, {"workspace_id", "state_key", "pos", "fp_scheme", "fp_value", "roi_digest"})).alias("j")))), lambda s: F.struct(s["state_id"], s["j"]))).alias("states"))
-    acts = ledgers.activities.groupBy("workspace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.to_json(keep(ledgers.activities, {"workspace_id", "ord"})).alias("j")))), lambda a: a["j"]).alias("activities"))
-    listed = F.array_join(F.transform(F.map_entries("states"), lambda e: F.concat(canon.json_string(e["key"]), F.lit(":"), e["value"])), ",")
-    text = F.concat(F.lit('{"workspace_id":'), canon.json_string(F.col("workspace_id")), F.lit(',"states":{'), F.coalesce(listed, F.lit("")), F.lit('},"activities":['), F.coalesce(F.array_join("activities", ","), F.lit("")), F.lit("]}"))
-    return states.join(acts, "workspace_id", "full_outer").select("workspace_id", text.alias("text"))
+    plain = keep(ledgers.states, {"workspace_id", "state_key", "pos", "fp_scheme", "fp_value", "roi_digest"})
+
+    def listed(rows: DataFrame, order: str, key: str, text: Column, out: str) -> DataFrame:
+        each = F.sort_array(F.collect_list(F.struct(order, F.concat(canon.json_string(F.col(key)), F.lit(":"), text).alias("j"))))
+        return rows.groupBy("workspace_id").agg(F.array_join(F.transform(each, lambda x: x["j"]), ",").alias(out))
+
+    states = listed(ledgers.states, "pos", "state_id", F.to_json(plain), "states")
+    homes = listed(ledgers.environments.dropDuplicates(["workspace_id", "environment_id"]), "environment_id", "environment_id", F.col("record_json"), "environments")
+    acts = F.sort_array(F.collect_list(F.struct("ord", F.to_json(keep(ledgers.activities, {"workspace_id", "ord"})).alias("j"))))
+    acts = ledgers.activities.groupBy("workspace_id").agg(F.array_join(F.transform(acts, lambda a: a["j"]), ",").alias("activities"))
+    part = lambda c: F.coalesce(c, F.lit(""))
+    text = F.concat(F.lit('{"workspace_id":'), canon.json_string(F.col("workspace_id")), F.lit(',"environments":{'), part("environments"), F.lit('},"states":{'), part("states"), F.lit('},"activities":['), part("activities"), F.lit("]}"))
+    return states.join(acts, "workspace_id", "full_outer").join(homes, "workspace_id", "full_outer").select("workspace_id", text.alias("text"))
 
 
 def call_problems(activities: DataFrame) -> DataFrame:

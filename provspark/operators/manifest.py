@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -204,3 +205,62 @@ def summary(props: DataFrame) -> DataFrame:
     listed = bound.groupBy("manifest", F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("prop") == "dlc:inputs", item))).alias("inputs"), F.sort_array(F.collect_list(F.when(F.col("prop") == "dlc:outputs", item))).alias("outputs"))
     named = made.select("manifest", "id", text_of(F.col("name")).alias("name"), (F.col("replayable") == "true").alias("replayable"))
     return order.join(named, ["manifest", "id"]).join(listed, ["manifest", "id"], "left").orderBy("manifest", "ord")
+
+
+@dataclass(frozen=True)
+class Inspection:
+    """What manifests say, a table each: ``roots``, ``attachments``, ``activities``, ``parameters``, ``states``, ``fan_out``."""
+
+    roots: DataFrame
+    attachments: DataFrame
+    activities: DataFrame
+    parameters: DataFrame
+    states: DataFrame
+    fan_out: DataFrame
+
+
+def inspect(props: DataFrame) -> Inspection:
+    """The whole summary of manifests, without judging them. Lists keep the order of the manifest.
+
+    ``activities(manifest, ord, id, type, name, replayable, instruments, origin, inputs, outputs, limits, x_alignment, legacy,
+    observed_state)``; ``parameters(manifest, id, position, name, json)``; ``states(manifest, id, kind, object_uuid,
+    fingerprint, locator, roi, produced_by, consumed_by)``; ``fan_out(manifest, state)``: states that several inputs bind.
+    """
+    held = edges(props)
+    made = entities(props, {"name": "name", "description": "description", "license": "license", "published": "datePublished", "fingerprint": FINGERPRINT, "revision": REVISION, "sha256": "sha256", "size": "contentSize", "media": "encodingFormat", "attached": ATTACHED, "referenced": REFERENCED})
+    own = made.select("manifest", "id", *[text_of(F.col(c)).alias(c) for c in ("name", "description", "license", "published", "fingerprint", "revision", "sha256", "size", "media")], "type", "attached", "referenced")
+    of = lambda prop, ident="id", value="value": props.where(F.col("prop") == prop).where("ord >= 0").select("manifest", F.col("id").alias(ident), "pos", F.col("value").alias(value), "ref")
+    in_order = lambda rows, key, item: rows.groupBy("manifest", key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(item).alias("x")))), lambda p: p["x"]).alias("items"))
+
+    parts = held.where("src = './' and prop = 'hasPart'").select("manifest", F.col("dst").alias("id"), "pos")
+    files = parts.join(own, ["manifest", "id"]).where("type = 'File'")
+    is_attached = F.coalesce(F.col("attached") == "true", F.lit(False))
+    attachments = files.where(is_attached).select("manifest", "pos", "name", F.col("media").alias("media_type"), "size", "sha256", "description")
+    work = files.where(~is_attached).select("manifest", F.col("id").alias("workspace"), F.coalesce(F.col("referenced") == "true", F.lit(False)).alias("workspace_referenced"), F.col("sha256").alias("workspace_sha256"), F.col("size").alias("workspace_size"))
+    profiles = in_order(held.where("src = './' and prop = 'conformsTo'").select("manifest", F.lit("./").alias("id"), "pos", "dst"), "id", "dst").select("manifest", F.col("items").alias("profiles"))
+    roots = own.where("id = './'").select("manifest", "name", "description", "license", F.col("published").alias("date_published"), "fingerprint", F.col("revision").alias("revision_of")).join(profiles, "manifest", "left").join(work, "manifest", "left")
+
+    order = held.where("src = './' and prop = 'mentions'").select("manifest", F.col("dst").alias("id"), F.col("pos").alias("ord"))
+    bound = summary(props).select("manifest", "id", "inputs", "outputs")
+    names = held.where("prop = 'instrument'").join(own.select("manifest", F.col("id").alias("dst"), F.col("name").alias("tool")), ["manifest", "dst"])
+    tools = in_order(names.withColumnRenamed("src", "id"), "id", "tool").withColumnRenamed("items", "instruments")
+    limits = in_order(of("dlc:limits").where("value is not null").withColumn("limit", text_of(F.col("value"))), "id", "limit").withColumnRenamed("items", "limits")
+    more = entities(props, {"name": "name", "origin": "dlc:origin", "replayable": "dlc:replayable", "x": "dlc:xAlignment", "legacy": "dlc:legacy"})
+    observed = held.where("prop = 'dlc:observedState'").select("manifest", F.col("src").alias("id"), F.col("dst").alias("observed_state"))
+    said = more.select("manifest", "id", "type", text_of(F.col("name")).alias("name"), (F.col("replayable") == "true").alias("replayable"), text_of(F.col("origin")).alias("origin"), text_of(F.col("x")).alias("x_alignment"), text_of(F.col("legacy")).alias("legacy"))
+    key = ["manifest", "id"]
+    activities = order.join(said, key).join(bound, key, "left").join(tools, key, "left").join(limits, key, "left").join(observed, key, "left")
+    activities = activities.withColumn("limits", F.coalesce("limits", F.array().cast("array<string>")))
+
+    given = held.where("prop = 'dlc:parameters'").select("manifest", F.col("src").alias("id"), F.col("pos").alias("position"), F.col("dst").alias("parameter"))
+    values = entities(props, {"name": "name", "json": "dlc:jsonValue"}).select("manifest", F.col("id").alias("parameter"), text_of(F.col("name")).alias("name"), text_of(F.col("json")).alias("json"))
+    parameters = given.join(values, ["manifest", "parameter"]).select("manifest", "id", "position", "name", "json")
+
+    uses = activities.select("manifest", "ord", "id", F.posexplode("inputs").alias("at", "i")).where("i.target is not null")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "at", "id"))), lambda u: u["id"])
+    consumed = uses.groupBy("manifest", F.col("i.target").alias("state")).agg(listed.alias("consumed_by"))
+    kept = entities(props, {"kind": "dlc:kind", "object": "dlc:objectUuid", "fp": "dlc:fingerprint", "path": "dlc:locator", "roi": "dlc:roi"}).where(F.col("id").startswith("#state-"))
+    made_by = held.where("prop = 'dlc:producedBy'").select("manifest", F.col("src").alias("id"), F.col("dst").alias("produced_by"))
+    states = kept.select("manifest", "id", *[text_of(F.col(c)).alias(n) for c, n in (("kind", "kind"), ("object", "object_uuid"), ("fp", "fingerprint"), ("path", "locator"), ("roi", "roi"))]).join(made_by, key, "left")
+    states = states.join(consumed.withColumnRenamed("state", "id"), key, "left").withColumn("consumed_by", F.coalesce("consumed_by", F.array().cast("array<string>")))
+    return Inspection(roots, attachments, activities, parameters, states, states.where("size(consumed_by) > 1").select("manifest", F.col("id").alias("state")))

@@ -54,3 +54,45 @@ def outside(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
 def stored_once(uploads: DataFrame) -> DataFrame:
     """Attachment bytes by content: ``(sha256, size)`` once each, whatever names they came under."""
     return uploads.select(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), F.octet_length("content").cast("long").alias("size")).distinct()
+
+
+def put_attachments(uploads: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(judged, blobs)`` of uploads ``(fingerprint, name, content)`` against what revisions declare.
+
+    ``judged(fingerprint, name, size, sha256, status)``: accepted, undeclared, or altered where size or SHA-256 is not the
+    declared one. ``blobs(sha256, size, content)`` has the bytes of the accepted ones, once each whatever their names.
+    """
+    seen = uploads.select("fingerprint", "name", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"), "content")
+    want = declared.select("fingerprint", "name", F.regexp_replace("sha256", "^sha256:", "").alias("_sha"), F.col("size").cast("long").alias("_size"))
+    status = cascade((F.col("_sha").isNull(), "undeclared"), (~(F.col("_sha").eqNullSafe(F.col("sha256")) & F.col("_size").eqNullSafe(F.col("size"))), "altered"), otherwise="accepted")
+    judged = seen.join(want, ["fingerprint", "name"], "left").withColumn("status", status)
+    blobs = judged.where("status = 'accepted'").select("sha256", "size", "content").dropDuplicates(["sha256"])
+    return judged.select("fingerprint", "name", "size", "sha256", "status"), blobs
+
+
+def read_attachments(stored: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``stored(fingerprint, name, sha256, size)`` with ``status``, the bytes hashed anew: available, missing or damaged."""
+    now = blobs.select(F.regexp_replace("sha256", "^sha256:", "").alias("_key"), F.sha2("content", 256).alias("_now"), F.octet_length("content").cast("long").alias("_size"))
+    joined = stored.withColumn("_key", F.regexp_replace("sha256", "^sha256:", "")).join(now, "_key", "left")
+    status = cascade((F.col("_now").isNull(), "missing"), ((F.col("_now") != F.col("_key")) | ~F.col("_size").eqNullSafe(F.col("size")), "damaged"), otherwise="available")
+    return joined.select(*stored.columns, status.alias("status"))
+
+
+def publish_reviews(reviews: DataFrame, revisions: DataFrame, existing: DataFrame, fingerprint_ok: Column) -> DataFrame:
+    """``reviews(fingerprint, target, ...)`` with ``status``: as ``review_status``, and created or known where it is accepted."""
+    judged = review_status(reviews, revisions, fingerprint_ok).dropDuplicates(["fingerprint"])
+    there = existing.select("fingerprint").distinct().withColumn("_there", F.lit(True))
+    outcome = F.when(F.col("_there"), "known").otherwise("created")
+    return judged.join(there, "fingerprint", "left").withColumn("status", F.when(F.col("status") == "accepted", outcome).otherwise(F.col("status"))).drop("_there")
+
+
+def checked_revisions(asked: DataFrame, manifests: DataFrame, problems: DataFrame) -> DataFrame:
+    """``asked(fingerprint)`` with ``status`` of what a registry returned for it; nothing it says is trusted.
+
+    ``manifests(fingerprint, computed)`` is the returned text's own fingerprint under the one asked for,
+    ``problems(fingerprint)`` the rules it breaks: missing, another revision, invalid, or valid.
+    """
+    bad = problems.select("fingerprint").distinct().withColumn("_bad", F.lit(True))
+    joined = asked.join(manifests.select("fingerprint", F.col("computed").alias("_own"), F.lit(True).alias("_found")), "fingerprint", "left").join(bad, "fingerprint", "left")
+    status = cascade((F.col("_found").isNull(), "missing"), (F.coalesce(F.col("_bad"), F.lit(False)), "invalid"), (~F.col("_own").eqNullSafe(F.col("fingerprint")), "another revision"), otherwise="valid")
+    return joined.withColumn("status", status).drop("_own", "_found", "_bad")

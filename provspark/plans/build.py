@@ -54,22 +54,22 @@ def _rows(df: DataFrame, ident: Column, always: dict[str, Column], maybe: dict[s
 
 
 def parameter_rows(activities: DataFrame) -> DataFrame:
-    """``(workspace_id, activity_id, name, json, literal)``: canonical text of each parameter, and how it stands as a value."""
+    """``(workspace_id, activity_id, position, name, json, literal)``: canonical text of each parameter in its place, and how it stands as a value."""
 
     def each(found: str | None) -> list[tuple]:
         out = []
-        for name, value in (canon.load_json(found) if found else {}).items():
+        for position, (name, value) in enumerate((canon.load_json(found) if found else {}).items()):
             plain = canon.canonical_json(value)
-            out.append((name, plain, None if value is None else plain if isinstance(value, str | bool | int | float) else canon.canonical_json(plain)))
+            out.append((position, name, plain, None if value is None else plain if isinstance(value, str | bool | int | float) else canon.canonical_json(plain)))
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(w, a, *x) for w, a, p in zip(part["workspace_id"], part["activity_id"], part["parameters"]) for x in each(p)]
-            yield pd.DataFrame(rows, columns=["workspace_id", "activity_id", "name", "json", "literal"])
+            yield pd.DataFrame(rows, columns=["workspace_id", "activity_id", "position", "name", "json", "literal"])
 
     named = activities.where("call.parameters is not null").select("workspace_id", "activity_id", F.col("call.parameters").alias("parameters"))
-    return named.mapInPandas(run, "workspace_id string, activity_id string, name string, json string, literal string")
+    return named.mapInPandas(run, "workspace_id string, activity_id string, position int, name string, json string, literal string")
 
 
 def entities(found: ledgers.Ledgers, locators: DataFrame, vocabulary: Vocabulary, workspace: Column | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def entities(found: ledgers.Ledgers, locators: DataFrame, vocabulary: Vocabulary
     given = parameter_rows(found.activities)
     parameter = F.concat(act, F.lit("-parameter-"), F.col("name"))
     parts.append(_rows(given, parameter, {"@type": text("PropertyValue"), "name": text(F.col("name")), "dlc:jsonValue": text(F.col("json"))}, {"value": F.col("literal")}))
-    order = given.groupBy("workspace_id", "activity_id").agg(F.collect_list("name").alias("_names"))
+    order = given.groupBy("workspace_id", "activity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda p: p["name"]).alias("_names"))
     acts = acts.join(order, ["workspace_id", "activity_id"], "left")
     numbered = lambda side, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: ref(F.concat(act, F.lit(f"-{side}-"), i.cast("string"))))
     inputs, outputs = F.col("call.inputs"), F.col("outputs")

@@ -117,9 +117,9 @@ def legacy_summary(t: Tables) -> DataFrame:
     return legacy.summary(_imported(t))
 
 
-@query("select p_partkey as object_uuid from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_partkey is not null)")
+@query("select p_partkey as object_uuid from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 45 and l_partkey is not null)")
 def legacy_unknown_objects(t: Tables) -> DataFrame:
-    known = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("object_uuid"))
+    known = t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("object_uuid"))
     return legacy.importable(t.part.select(F.col("p_partkey").alias("object_uuid")), known)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.operators import check, manifest
+from provspark.functions import canon
+from provspark.operators import check, manifest, review
 from provspark.operators.archive import ATTACHMENTS, WORKSPACE, SizePolicy
+from provspark.scratch import materialize
 from provspark.sources import capsule
 
 
@@ -21,15 +23,20 @@ def declared_files(props: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str, profile: str, terms: Sequence[str], reviews: DataFrame | None = None, policy: SizePolicy = SizePolicy()) -> tuple[DataFrame, DataFrame]:
-    """``(verdicts, problems)`` of all capsules under ``path``.
+    """``verify_entries`` of all capsules under ``path``."""
+    return verify_entries(capsule.read_entries(spark, path, policy), profile, terms, reviews)
+
+
+def verify_entries(entries: DataFrame, profile: str, terms: Sequence[str], reviews: DataFrame | None = None, workspaces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(verdicts, problems)`` of the capsules that ``entries`` were read from.
 
     ``verdicts(capsule, valid, fingerprint, workspace, problems)``: workspace is ``integrity_only`` when its size and
-    SHA-256 were checked, ``not_available`` when it is referenced. ``problems(capsule, subject, problem)`` are entry
+    SHA-256 were checked, ``not_available`` when it is referenced. ``workspaces(iri, sha256, size)`` gives referenced ones that
+    were fetched: such a workspace is checked like an included one. ``problems(capsule, subject, problem)`` are entry
     refusals, manifest rules, and files that differ from their declaration. ``reviews(capsule, review, cited)`` adds
     those that cite activities the capsule has not.
     """
-    entries = capsule.read_entries(spark, path, policy)
-    props = manifest.properties(capsule.manifests(entries))
+    props = materialize(manifest.properties(capsule.manifests(entries)), "properties")  # read by every rule
     names = entries.select("capsule").distinct()
     refused = entries.where("refusal is not null").select("capsule", F.col("name").alias("subject"), F.col("refusal").alias("problem"))
     broken = entries.where("problem is not null").select("capsule", F.coalesce("name", F.lit("archive")).alias("subject"), "problem")
@@ -43,8 +50,16 @@ def verify(spark: SparkSession, path: str, profile: str, terms: Sequence[str], r
         actions = manifest.entities(props, {}).where(F.col("type").isin(*manifest.ACTIONS)).select(F.col("manifest").alias("capsule"), F.substring("id", 11, 1 << 20).alias("activity_id"))
         cited = reviews.select("capsule", "review", F.explode("cited").alias("activity_id")).join(actions, ["capsule", "activity_id"], "left_anti")
         parts.append(cited.select("capsule", F.col("review").alias("subject"), F.lit("cites an activity the capsule has not").alias("problem")).distinct())
+    fetched = None
+    if workspaces is not None:
+        far = manifest.entities(props, {"sha256": "sha256", "size": "contentSize", "referenced": manifest.REFERENCED}).where("referenced = 'true'")
+        want = far.select(F.col("manifest").alias("capsule"), F.col("id").alias("iri"), F.struct(manifest.text_of(F.col("sha256")).alias("sha256"), manifest.text_of(F.col("size")).try_cast("long").alias("size")).alias("d"))
+        fetched = want.join(workspaces.select("iri", F.struct("sha256", "size").alias("p")), "iri")
+        parts.append(fetched.where("not (d <=> p)").select("capsule", F.col("iri").alias("subject"), F.lit("altered").alias("problem")))
     problems = check.all_problems(parts)
     held = entries.where((F.col("name") == WORKSPACE) & F.col("refusal").isNull()).select("capsule", F.lit("integrity_only").alias("workspace"))
+    if fetched is not None:
+        held = held.unionByName(fetched.select("capsule", F.lit("integrity_only").alias("workspace"))).distinct()
     root = manifest.entities(props, {"fingerprint": manifest.FINGERPRINT}).where("id = './'").select(F.col("manifest").alias("capsule"), manifest.text_of(F.col("fingerprint")).alias("fingerprint"))
     counted = problems.groupBy("capsule").agg(F.count("*").alias("problems"))
     verdicts = names.join(root, "capsule", "left").join(held, "capsule", "left").join(counted, "capsule", "left")
@@ -52,3 +67,45 @@ def verify(spark: SparkSession, path: str, profile: str, terms: Sequence[str], r
     return verdicts.select("capsule", (n == 0).alias("valid"), "fingerprint", F.coalesce("workspace", F.lit("not_available")).alias("workspace"), n.alias("problems")), problems
 
 
+def inspect_entries(entries: DataFrame, profile: str, terms: Sequence[str], documents: DataFrame | None = None) -> tuple[manifest.Inspection, DataFrame, DataFrame | None]:
+    """``(summary, integrity, documents)``: what capsules say, whether they are whole, and how supplied documents stand.
+
+    ``integrity`` is that of ``verify_entries`` alone: what is wrong with a supplied document is no problem of the
+    capsule. ``documents(capsule, kind, index, text)`` are reviews and reports as JSON; each gets a ``status``: valid,
+    unreadable, its first problem, or that it cites an activity or a target that the capsule has not. Unreadable
+    capsules have an integrity row, no summary, and no document rows.
+    """
+    props = materialize(manifest.properties(capsule.manifests(entries)), "properties")
+    verdicts, _ = verify_entries(entries, profile, terms)
+    if documents is None:
+        return manifest.inspect(props), verdicts, None
+    readable = props.groupBy("manifest").agg(F.bool_or(F.col("prop") == "@unreadable").alias("bad")).where("not bad").select(F.col("manifest").alias("capsule"))
+    given = documents.join(readable, "capsule", "left_semi").withColumn("_plain", canon.canonical_text(F.col("text")))
+    reviews = review.review_problems(given.where("kind = 'review'"))
+    reports = review.report_problems(given.where("kind = 'report'"))
+    judged = reviews.unionByName(reports)
+    root = manifest.entities(props, {"fingerprint": manifest.FINGERPRINT}).where("id = './'").select(F.col("manifest").alias("capsule"), manifest.text_of(F.col("fingerprint")).alias("_fp"))
+    actions = manifest.entities(props, {}).where(F.col("type").isin(*manifest.ACTIONS)).groupBy(F.col("manifest").alias("capsule")).agg(F.collect_set(F.substring("id", 11, 1 << 20)).alias("_acts"))
+    cited = F.from_json("text", "activity_id string, target string, reports array<struct<activity_id:string>>")
+    joined = judged.withColumn("_c", cited).join(root, "capsule", "left").join(actions, "capsule", "left")
+    own = F.coalesce("_acts", F.array().cast("array<string>"))
+    foreign = F.exists(F.coalesce("_c.reports", F.array().cast("array<struct<activity_id:string>>")), lambda r: ~F.array_contains(own, r["activity_id"]))
+    status = check.cascade(
+        (F.col("_plain").isNull(), "unreadable"),
+        (F.size("problems") > 0, "_first"),
+        ((F.col("kind") == "review") & ~F.col("_c.target").eqNullSafe(F.col("_fp")), "another revision"),
+        ((F.col("kind") == "review") & F.coalesce(foreign, F.lit(False)), "cites an activity the capsule has not"),
+        ((F.col("kind") == "report") & ~F.coalesce(F.array_contains(own, F.col("_c.activity_id")), F.lit(False)), "cites an activity the capsule has not"),
+        otherwise="valid",
+    )
+    shown = joined.withColumn("status", status).withColumn("status", F.when(F.col("status") == "_first", F.get("problems", F.lit(0))).otherwise(F.col("status")))
+    return manifest.inspect(props), verdicts, shown.select("capsule", "kind", "index", "status")
+
+
+def rebuilt(stored: DataFrame, made: DataFrame) -> DataFrame:
+    """``(workspace_id, described)``: whether a stored manifest's fingerprint is that of the one built from its ledger.
+
+    ``stored(workspace_id, fingerprint)``, ``made(workspace_id, fingerprint)``; without a ledger it is not.
+    """
+    found = stored.select("workspace_id", F.col("fingerprint").alias("_s")).join(made.select("workspace_id", F.col("fingerprint").alias("_m")), "workspace_id", "left")
+    return found.select("workspace_id", F.coalesce(F.col("_s") == F.col("_m"), F.lit(False)).alias("described"))

@@ -8,17 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="provspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/provspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the session's scratch folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/provspark/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(held)
+        files.deleteOnExit(held)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.operators import archive
+from provspark.operators import archive, manifest
 from provspark.operators.archive import ATTACHMENTS, MANIFEST, WORKSPACE, SizePolicy
 
 ENTRIES = "capsule string, ord int, name string, size long, encrypted boolean, symlink boolean, compressed boolean, sha256 string, content binary, problem string"
@@ -52,14 +52,19 @@ def read_entries(spark: SparkSession, path: str, policy: SizePolicy = SizePolicy
     one row with a ``problem``.
     """
     most = policy.manifest + policy.workspace + policy.attachments * policy.attachment + (1 << 20)
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= min(most, 2**31 - 1)).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= min(most, 2**31 - 1))
+    return entries_of(files.select(F.col("path").alias("capsule"), "content"), policy, contents)
+
+
+def entries_of(files: DataFrame, policy: SizePolicy = SizePolicy(), contents: bool = False) -> DataFrame:
+    """``read_entries`` for archives ``files(capsule, content)`` that are in a table."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, data in zip(part["path"], part["content"]):
+            for name, data in zip(part["capsule"], part["content"]):
                 yield pd.DataFrame(list(_entries(name, data, policy, contents)), columns=_COLUMNS)
 
-    found = files.mapInPandas(run, ENTRIES)
+    found = files.select(F.col("capsule").cast("string").alias("capsule"), "content").mapInPandas(run, ENTRIES)
     judged = archive.entry_refusals(found.where("ord >= 0"), "capsule", policy)
     return judged.unionByName(found.where("ord < 0").withColumn("refusal", F.lit(None).cast("string")))
 
@@ -97,3 +102,17 @@ def create(entries: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], data, len(data), f"sha256:{sha256(data).hexdigest()}")], columns=["capsule", "content", "size", "sha256"])
 
     return entries.select("capsule", "name", "content").groupBy("capsule").applyInPandas(run, "capsule string, content binary, size long, sha256 string")
+
+
+def opened(entries: DataFrame) -> DataFrame:
+    """``(capsule, content, origin)``: each capsule's workspace bytes, and the record of where they came from, as JSON.
+
+    Read the entries with ``contents``. A capsule without a workspace entry (a referenced one) has no row.
+    """
+    work = entries.where((F.col("name") == WORKSPACE) & F.col("refusal").isNull() & F.col("content").isNotNull()).select("capsule", "content")
+    files = entries.where(F.col("name").startswith(ATTACHMENTS) & F.col("refusal").isNull()).groupBy("capsule").agg(F.array_sort(F.collect_list(F.substring("name", len(ATTACHMENTS) + 1, 1 << 20))).alias("attachments"))
+    roots = manifest.entities(manifest.properties(manifests(entries)), {"name": "name", "fingerprint": manifest.FINGERPRINT}).where("id = './'")
+    roots = roots.select(F.col("manifest").alias("capsule"), manifest.text_of(F.col("fingerprint")).alias("fingerprint"), manifest.text_of(F.col("name")).alias("name"))
+    listed = F.coalesce("attachments", F.array().cast("array<string>"))
+    origin = F.to_json(F.struct("fingerprint", "name", listed.alias("attachments")), {"ignoreNullFields": "false"})
+    return work.join(roots, "capsule").join(files, "capsule", "left").select("capsule", "content", origin.alias("origin"))
