@@ -43,15 +43,17 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` of every document; the 64 bits as a signed long. Null or wordless text: 0."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, th: bool = False) -> DataFrame:
+    """``(doc_id, fp[, th])`` of every document; the 64 bits as a signed long. Null or wordless text: 0. ``th`` adds a hash of the text."""
+    names = ["doc_id", "fp", "th"][: 2 + th]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *([batch.column(2)] if th else [])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    own = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([text_hash().alias("th")] if th else [])]
+    return docs.select(*own).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 #: The code of one 32-bit half: the perfect Hamming [31, 26] code times the full code on bit 0. Bit position i in
@@ -143,14 +145,33 @@ def simhash_groups(docs: DataFrame, threshold: int = 2) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id.
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
 
-    Rows with a null doc_id are kept; rows that repeat a kept doc_id are kept as well.
+def _keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each component of ``rows(doc_id, th, component)`` the row of ``docs`` with the smallest doc_id, then text hash; null ids come last.
+
+    Rows are told apart by id and text, so a doc_id with two texts can lose one of them, rows without an id go like
+    others, and of equal rows one stays.
     """
-    groups = simhash_groups(docs, threshold)
-    losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    first = materialize(rows.groupBy("component").agg(F.min(key).alias("k")).select("k.*"), "near-first")
+    row = F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("_row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_th"))
+    same = lambda left, i, t: left[i].eqNullSafe(first["id"]) & (left[t] == first["th"])
+    kept = own.join(first, same(own, "_id", "_th"), "left_semi")
+    again = rows.groupBy("doc_id", "th").count().where("count > 1")
+    if again.join(first, same(again, "doc_id", "th"), "left_semi").head(1):
+        kept = kept.dropDuplicates(["_id", "_th"])
+    return kept.select(*(F.col("_row")[n].alias(n) for n in docs.columns))
+
+
+def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """One row of each group of fingerprints that link at ``threshold`` bits, as ``_keep_first`` chooses it."""
+    signed = materialize(fingerprints(docs.select(F.col("doc_id"), F.col("text")), th=True), "simhash")
+    parts = connected_components(links(signed.select("fp").distinct(), threshold))
+    return _keep_first(docs, signed.join(parts, signed.fp == parts.node, "left").select("doc_id", "th", F.coalesce("component", "fp").alias("component")))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -167,6 +188,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A set's parity bits, packed: bit i is whether an odd number of its hashes is i modulo the bits, 8 or more for each hash.
+
+    Two sets' bits differ in no more places than the sets have elements that only one of them has.
+    """
+    bits = max(64, 1 << int(8 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def folded(packed: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits (rows of bytes) as those of ``size`` bytes, a power of two below."""
+    while packed.shape[-1] > size:
+        half = packed.shape[-1] // 2
+        packed = packed[..., :half] ^ packed[..., half:]
+    return packed
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, th, fp, bands)`` of every document; th is a hash of the text as it stands."""
 
@@ -181,36 +219,37 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
 
 
-def text_hash():
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def _shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(th, s)``: the distinct shingle hashes of each text in ``wanted(th)``."""
+    """``(th, s, n, odd)``: the distinct shingle hashes of each text in ``wanted(th)``, their number, and their ``parities``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(memo.of(words_of(x)), width)).view(np.int64) for x in text_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["th", "s"])
+                sets = [np.unique(shingle_hashes(memo.of(words_of(x)), width)) for x in text_bytes(part.column(1))]
+                lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                odd = pa.array([parities(x).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(x) for x in sets], pa.int64()), odd], ["th", "s", "n", "odd"])
 
     own = docs.select(text_hash().alias("th"), F.col("text").cast("string").alias("text")).join(wanted, "th", "left_semi")
-    return own.dropDuplicates(["th"]).select("th", "text").mapInArrow(run, "th long, s array<long>")
+    return own.dropDuplicates(["th"]).select("th", "text").mapInArrow(run, "th long, s array<long>, n long, odd binary")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_LEAST, rounds: int = 3) -> DataFrame:
+def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_LEAST, rounds: int = 2) -> DataFrame:
     """``(a, b)``: fingerprints that join, beside the links ``given``, all texts that share a band and are similar.
 
-    Texts of a band are first compared with one of them, by another choice each round, and then all pairs that
-    are not yet in one component: a large group of near copies is joined without the square of its size, and
-    no pair that shares a band stays unjoined at ``least`` or more. Similarity is the Jaccard of the distinct
-    64-bit shingle hashes. Texts under ``width`` words have no band: they are near copies only if equal.
+    Texts of a band are compared with one of them where the two are not yet in one component: first with the text that
+    shares most bands with others, which near copies of one original have in common, then with another. What is still
+    apart then goes through ``_across``. So a large group of near copies is joined without the square of its size in
+    rows, and no pair that shares a band stays unjoined at ``least`` or more. Similarity is the Jaccard of the distinct 64-bit shingle hashes. Texts under ``width`` words have no
+    band: they are near copies only if equal.
     """
-    members = signed.select("th", "fp", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    members = materialize(members.join(shared, "key").distinct(), "near-members")
+    members = signed.select("th", "fp", F.explode("bands").alias("key")).distinct()
+    shared = members.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    members = materialize(members.join(shared, "key"), "near-members")
+    weights = members.groupBy("th").agg(F.sum("n").alias("w"))
+    members = materialize(members.drop("n").join(weights, "th"), "near-members")
     sets = materialize(_shingled(docs, members.select("th").distinct(), width), "near-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -218,40 +257,74 @@ def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int
         both = F.size(F.array_intersect("sa", "sb"))
         return sized.where(both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
-    stars = None
+    def open_members(links: DataFrame) -> DataFrame:
+        """Members of keys that still hold several components, with theirs."""
+        parts = connected_components(links)
+        labelled = members.join(parts, members.fp == parts.node, "left").select("key", "th", "fp", "w", F.coalesce("component", "fp").alias("c"))
+        labelled = materialize(labelled, "near-labels")
+        split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        return labelled.join(split, "key")
+
+    found = given
     for k in range(rounds):
-        centre = members.groupBy("key").agg(F.min_by(F.struct("th", "fp"), F.struct(F.xxhash64("th", F.lit(k)), "th")).alias("x"))
-        pairs = members.join(centre, "key").where("fp <> x.fp").select(F.col("x.th").alias("ta"), F.col("th").alias("tb"), F.col("x.fp").alias("a"), F.col("fp").alias("b"))
-        stars = pairs if stars is None else stars.unionByName(pairs)
-    found = materialize(similar(stars.distinct()), "near-stars")
-    parts = connected_components(given.unionByName(found))
-    labelled = members.join(parts, members.fp == parts.node, "left").select("key", "th", "fp", F.coalesce("component", "fp").alias("c"))
-    labelled = materialize(labelled, "near-labels")
-    split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = labelled.join(split, "key")
-    left, right = (open_.select("key", F.col("th").alias(f"t{x}"), F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = left.join(right, "key").where("ca < cb").select("ta", "tb", "a", "b").distinct()
-    return found.unionByName(similar(rest))
+        rest = open_members(found)
+        rank = F.struct("w", "th") if k == 0 else F.struct(F.xxhash64("th", F.lit(k)), "th")
+        centre = rest.groupBy("key").agg(F.max_by(F.struct("th", "fp", "c"), rank).alias("x"))
+        pairs = rest.join(centre, "key").where("c <> x.c").select(F.col("x.th").alias("ta"), F.col("th").alias("tb"), F.col("x.fp").alias("a"), F.col("fp").alias("b"))
+        found = found.unionByName(materialize(similar(pairs.distinct()), "near-stars"))
+    pairs = _across(open_members(found), sets.select("th", "n", "odd"), least)
+    return found.unionByName(similar(materialize(pairs.distinct(), "near-pairs")))
+
+
+def _across(rest: DataFrame, sets: DataFrame, least: float, block: int = 2000) -> DataFrame:
+    """``(ta, tb, a, b)``: pairs of different components in a key of ``rest(key, th, fp, c)`` that may be similar.
+
+    In each key the texts outside its largest component are a query set, held against all texts of the key in blocks
+    of bounded size. A pair leaves its block unless sizes or parities show that it has too few shingles in common: none
+    at ``least`` or more stays behind, and few others leave.
+    """
+    sizes = rest.groupBy("key", "c").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.sum("k").alias("all"), F.max("k").alias("top"))
+    own = rest.join(most, "key").join(sets, "th")
+    parts = lambda k: F.ceil(k / block).cast("int")
+    na, nq = parts(F.col("all")), parts(F.col("all") - F.col("top"))
+    place = lambda k, salt: F.pmod(F.xxhash64("th", F.lit(salt)), k).cast("int")
+    asked = own.where("c <> major").withColumn("ba", F.explode(F.sequence(F.lit(0), na - 1))).withColumn("bq", place(nq, 1)).withColumn("side", F.lit(0))
+    there = own.withColumn("bq", F.explode(F.sequence(F.lit(0), nq - 1))).withColumn("ba", place(na, 2)).withColumn("side", F.lit(1))
+    names = ["key", "ba", "bq", "side", "th", "fp", "c", "n", "odd"]
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        side, th, fp, c, n = (table[x].to_numpy() for x in ("side", "th", "fp", "c", "n"))
+        odd = table["odd"].to_pylist()
+        width = np.array([len(x) for x in odd])
+        shelves = {w: np.flatnonzero((width == w) & (side == 1)) for w in np.unique(width).tolist()}
+        bits = {w: np.frombuffer(b"".join(odd[i] for i in at), np.uint8).reshape(-1, w) for w, at in shelves.items()}
+        found = []
+        for i in np.flatnonzero(side == 0).tolist():
+            mine = np.frombuffer(odd[i], np.uint8)
+            for w, at in shelves.items():
+                near = (c[at] != c[i]) & (n[at] >= least * n[i] - 1e-9) & (n[i] >= least * n[at] - 1e-9)
+                if near.any():
+                    size, chosen = min(w, len(mine)), at[near]
+                    apart = np.bitwise_count(folded(bits[w][near], size) ^ folded(mine, size)).sum(axis=1)
+                    like = chosen[apart <= (n[i] + n[chosen]) * (1 - least) / (1 + least) + 1e-9]
+                    found += [np.stack([np.full(len(like), th[i]), th[like], np.full(len(like), fp[i]), fp[like]])] if len(like) else []
+        rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        back = rows[0] > rows[1]  # a pair of two queries comes from either side
+        rows[:, back] = rows[[1, 0, 3, 2]][:, back]
+        return pa.table(dict(zip(("ta", "tb", "a", "b"), rows)))
+
+    both = asked.select(*names).unionByName(there.select(*names))
+    return both.groupBy("key", "ba", "bq").applyInArrow(run, "ta long, tb long, a long, b long")
 
 
 def keep_near(docs: DataFrame, threshold: int = 2, width: int = NEAR_WIDTH, least: float = NEAR_LEAST) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id, then text hash; null ids come last.
+    """One row of each group of near copies, as ``_keep_first`` chooses it.
 
     Near copies are texts within ``threshold`` bits, as in ``simhash_groups``, or of Jaccard similarity ``least`` or
-    more over shingles of ``width`` words. Rows are told apart by id and text, so a doc_id with two texts can lose
-    one of them, rows without an id go like others, and of equal rows one stays.
+    more over shingles of ``width`` words.
     """
     signed = materialize(_signed(docs, width), "near-signed")
     close = materialize(links(signed.select("fp").distinct(), threshold), "simhash-links")
-    parts = connected_components(close.unionByName(near_links(docs, signed, close, width, least)))
-    rows = signed.join(parts, signed.fp == parts.node, "left").select("doc_id", "th", F.coalesce("component", "fp").alias("component"))
-    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
-    first = rows.groupBy("component").agg(F.min(key).alias("k"))
-    first = materialize(first.select("k.*"), "near-first")
-    own = docs.withColumn("_th", text_hash())
-    kept = own.join(first, own["doc_id"].cast("long").eqNullSafe(first["id"]) & (own["_th"] == first["th"]), "left_semi")
-    again = signed.groupBy("doc_id", "th").count().where("count > 1")
-    again = again.join(first, again["doc_id"].eqNullSafe(first["id"]) & (again["th"] == first["th"]), "left_semi")
-    if again.head(1):
-        kept = kept.dropDuplicates(["doc_id", "_th"])
-    return kept.select(*docs.columns)
+    parts = connected_components(near_links(docs, signed, close, width, least))
+    return _keep_first(docs, signed.join(parts, signed.fp == parts.node, "left").select("doc_id", "th", F.coalesce("component", "fp").alias("component")))

@@ -44,3 +44,43 @@ def test_near_copies_at_five_words_go(spark):
 
 def test_near_copies_of_nothing(empty):
     assert simhash.keep_near(empty).count() == 0
+
+
+def test_parities_never_count_too_many():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 2**63, int(rng.integers(0, 200))).astype(np.uint64)]))
+        x, y = simhash.parities(a), simhash.parities(b)
+        size = min(len(x), len(y))
+        apart = int(np.bitwise_count(simhash.folded(x, size) ^ simhash.folded(y, size)).sum())
+        only = len(np.setxor1d(a, b))
+        assert apart <= only and (apart >= 0.8 * only or only > 0.2 * len(a))  # close sets are told apart well
+
+
+def test_large_groups_of_near_copies_of_one_original(spark):
+    """Copies of one text with edits of their own: most are near the original, few near each other."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 150):
+        own = list(base)
+        for k in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            own[k] = f"x{rng.integers(0, 6)}"
+        rows.append((d, " ".join(own)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(146)} for d, t in rows}
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {find(i) for i in range(len(rows))}
+    kept = {r.doc_id for r in simhash.keep_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept <= want and len(want) > 5  # SimHash may join a few more
+    assert len(want - kept) <= 2

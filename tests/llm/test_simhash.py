@@ -44,9 +44,12 @@ def test_empty_table(empty):
     assert simhash.keep_one(empty).columns == empty.columns
 
 
-def test_keep_one_keeps_smallest_and_null_ids(corpus):
+def test_keep_one_goes_by_id_and_text(spark, corpus):
     kept = [r.doc_id for r in simhash.keep_one(corpus).collect()]
-    assert 1 in kept and 2 not in kept and kept.count(None) == 2 and 4 in kept and 5 not in kept
+    assert 1 in kept and 2 not in kept and None not in kept and 4 in kept and 5 not in kept and kept.count(13) == 1
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "quite another text here"), (None, "a b c d"), (None, "one without an id"), (3, "one without an id")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d"), (2, "quite another text here"), (3, "one without an id")]
 
 
 @settings(max_examples=60, deadline=None)
