@@ -7,62 +7,49 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import WORD, materialize
 
-#: One boundary in so many lines; words that make a line a chunk of its own.
+#: One boundary in so many lines, before runs of boundaries are thinned; words that make a line a stretch of its own.
 MODULUS, LONG_WORDS = 3, 50
 _NO_ID = -(2**63)
 
 
-def line_hash(line: Column) -> Column:
-    """60 bits of the line's MD5, as a long."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+def _once(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` made once for each row."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
-def _starts(modulus: int) -> Column:
-    """Where chunks start in the array ``l`` of a document's globally repeated lines, in order.
+def _boundary(k: Column, modulus: int) -> Column:
+    """Whether a chunk starts at the ``k``-th line with words of the array ``w``.
 
-    A chunk never spans lines that do not follow each other in the document, so the ends of a run of repeated
-    lines are boundaries wherever the run stands. Inside a run a boundary follows a line where the rolling hash
-    of it and the line before it says so, where a long line begins or ends, and where a line is over twice as
-    frequent as its neighbour.
+    The rolling hash of the two lines before says so, unless it says so for the line before as well: a chunk has
+    two lines at least, and where chunks start follows from three lines, wherever the passage stands.
     """
+    rolled = lambda i: ((F.get("w", i - 1)["h"] % 1000003) * 31 + F.get("w", i - 2)["h"] % 1000003) % modulus == 0
+    return (k == 0) | ((k > 1) & rolled(k) & ((k < 3) | ~rolled(k - 1)))
 
-    def first(i: Column) -> Column:
-        x, p, o = F.get("l", i), F.get("l", i - 1), F.get("l", i - 2)
-        follows = F.when(o["pos"] + 1 == p["pos"], o["h"] % 1000003).otherwise(0)
-        rolled = (p["h"] % 1000003) * 31 + F.coalesce(follows, F.lit(0))
-        return (
-            (i == 0)
-            | (x["pos"] != p["pos"] + 1)
-            | x["long"]
-            | p["long"]
-            | (x["c"] > 2 * p["c"])
-            | (p["c"] > 2 * x["c"])
-            | (rolled % modulus == 0)
-        )
 
-    return F.filter(F.sequence(F.lit(0), F.size("l") - 1), first)
+def _spans(modulus: int) -> Column:
+    """Chunks and stretches of the lines with words ``w(pos, h, long)``, as (start, lines); ``hs`` has the hashes of all lines.
 
-
-def _passages(need: int) -> Column:
-    """The shortest stretches of at least ``need`` words and two lines in ``l`` that begin, or end, at each line with words.
-
-    Wherever a passage of ``need`` words stands, the stretches from its lines are the same, and together they cover
-    all of it. Lines without a word lie inside stretches only; so a line is in at most ``2 * need`` of them.
+    A stretch is a long line, or a line and the next one; it carries chunks on to both sides and stands for runs too
+    short for a chunk. Blank lines inside a span belong to it.
     """
-    numbered = F.transform("l", lambda x, k: F.struct(k.alias("k"), (x["pos"] - k).alias("run"), x["words"].alias("words")))
+    key = lambda start, lines, kind: F.xxhash64(F.slice("hs", start + 1, lines), F.lit(kind))
 
-    def reach(part: Column, own: Column) -> Column:
-        none = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("k"))
-        grow = lambda a, x: F.when((a["words"] >= need) | (x["run"] != own["run"]), a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), x["k"].alias("k")))
-        return F.aggregate(part, none, grow, lambda a: F.when(a["words"] >= need, a["k"]))
+    def span(start: Column, end: Column, kind: str) -> Column:
+        lines = end - start + 1
+        return F.when(end.isNotNull(), F.struct(start.alias("start"), lines.alias("lines"), key(start, lines, kind).alias("ck")))
 
-    def stretches(z: Column) -> Column:
-        ahead = F.transform(z, lambda x, i: F.struct(x["k"].alias("a"), reach(F.slice(z, i + 1, F.lit(need)), x).alias("b")))
-        back = F.transform(z, lambda x, i: F.struct(reach(F.reverse(F.slice(z, F.greatest(i - (need - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(need)))), x).alias("a"), x["k"].alias("b")))
-        return F.array_distinct(F.filter(F.concat(ahead, back), lambda w: w["a"] < w["b"]))
+    def chunks(starts: Column) -> Column:
+        def chunk(a: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(starts, k + 1), F.size("w")) - 1
+            return F.when(last - a >= 2, span(F.get("w", a)["pos"], F.get("w", last)["pos"], "chunk"))
 
-    # an array of one, so that the inner array is made once for each document
-    return F.flatten(F.transform(F.array(F.filter(numbered, lambda x: x["words"] > 0)), stretches))
+        return F.transform(starts, chunk)
+
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda k: _boundary(k, modulus))
+    pairs = F.transform("w", lambda x, k: span(x["pos"], F.get("w", k + 1)["pos"], "pair"))
+    longs = F.transform(F.filter("w", lambda x: x["long"]), lambda x: span(x["pos"], x["pos"], "long"))
+    return F.filter(F.concat(_once(starts, chunks), pairs, longs), lambda s: s.isNotNull())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -70,41 +57,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return plain.select("_id", F.xxhash64("text").alias("_th"), "text").where("text is not null")
 
 
-def chunks(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
-    """``(_id, _th, start, lines, ck)``: candidate chunks of lines that all occur more than once in the corpus.
+def spans(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
+    """``(_id, _th, start, lines, ck)``: each document's content-defined chunks of three lines or more, and its stretches.
 
-    A chunk counts if it has two lines with a word, or one long line. ck hashes the chunk's line hashes.
-    ``passages`` adds the stretches of ``_passages``, under keys of their own.
+    What a document gives follows from its own lines alone. ck hashes the hashes of the span's lines.
     """
-    fields = lambda x: [line_hash(x).alias("h"), F.coalesce((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), F.lit(False)).alias("long"), x.rlike(WORD).alias("solid")]
-    words = lambda x: [F.least(F.regexp_count(x, F.lit(WORD)), F.lit(long_words)).alias("words")] if passages else []
-    line = F.posexplode(F.transform(F.split("text", "\n", -1), lambda x: F.struct(*fields(x), *words(x))))
-    rows = _keyed(docs).select("_id", "_th", line.alias("pos", "x")).select("_id", "_th", "pos", "x.*")
-    often = materialize(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "line-hashes")  # a table, so that AQE can split the join at a hot line
-    repeated = rows.join(often, "h").select("_id", "_th", F.struct("pos", "h", "c", "long", "solid", *(["words"] if passages else [])).alias("x"))
-    runs = repeated.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("x")).alias("l")).withColumn("s", _starts(modulus))
-    cut = F.transform("s", lambda a, k: F.slice("l", a + 1, F.coalesce(F.get("s", k + 1), F.size("l")) - a))
-    shaped = F.transform(
-        cut,
-        lambda c: F.struct(
-            c[0]["pos"].alias("start"),
-            F.size(c).alias("lines"),
-            F.size(F.filter(c, lambda x: x["solid"])).alias("solid"),
-            c[0]["long"].alias("long"),
-            F.xxhash64(F.transform(c, lambda x: x["h"])).alias("ck"),
-        ),
-    )
-    counting = F.transform(F.filter(shaped, lambda c: c["long"] | (c["solid"] >= 2)), lambda c: F.struct(c["start"].alias("start"), c["lines"].alias("lines"), c["ck"].alias("ck")))
-    if passages:
-
-        def stretch(w: Column) -> Column:
-            lines = w["b"] - w["a"] + 1
-            hashes = F.transform(F.slice("l", w["a"] + 1, lines), lambda x: x["h"])
-            return F.struct(F.get("l", w["a"])["pos"].alias("start"), lines.alias("lines"), F.xxhash64(hashes, F.lit("passage")).alias("ck"))
-
-        counting = F.concat(counting, F.transform(_passages(long_words), stretch))
-    found = runs.select("_id", "_th", F.explode(counting).alias("c"))
-    return found.select("_id", "_th", "c.start", "c.lines", "c.ck")
+    long = lambda x: F.coalesce((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), F.lit(False))
+    line = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), x.rlike(WORD).alias("solid"), long(x).alias("long"))
+    split = _keyed(docs).select("_id", "_th", F.transform(F.split("text", "\n", -1), line).alias("l"))
+    shaped = split.select("_id", "_th", F.transform("l", lambda x: x["h"]).alias("hs"), F.filter("l", lambda x: x["solid"]).alias("w"))
+    return shaped.select("_id", "_th", F.explode(_spans(modulus)).alias("c")).select("_id", "_th", "c.*")
 
 
 def _lines_at(split: Column, start: Column, lines: Column) -> Column:
@@ -112,7 +74,7 @@ def _lines_at(split: Column, start: Column, lines: Column) -> Column:
 
 
 def _merged(pairs: DataFrame) -> DataFrame:
-    """Of ``(_id, _th, start, lines, keep)``, chunks that touch or overlap and have the same shift to the same earlier text, as one."""
+    """Of ``(_id, _th, start, lines, keep)``, spans that touch or overlap and have the same shift to the same earlier text, as one."""
     group = ["_id", "_th", "kid", "kth", "shift"]
     order = Window.partitionBy(*group).orderBy("start")
     flat = pairs.select("_id", "_th", F.col("keep._id").alias("kid"), F.col("keep._th").alias("kth"), (F.col("start") - F.col("keep.start")).alias("shift"), "start", (F.col("start") + F.col("lines")).alias("end"))
@@ -123,54 +85,53 @@ def _merged(pairs: DataFrame) -> DataFrame:
     return whole.select("_id", "_th", "start", "lines", keep.alias("keep"))
 
 
-def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, passages: bool = False) -> DataFrame:
-    """``(_id, _th, rm)``: for each document, the chunks an earlier place of the corpus has, with that place's bytes."""
-    found = materialize(chunks(docs, modulus, long_words, passages), "line-chunks")
+def repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
+    """``(_id, _th, rm)``: for each document, the runs of lines an earlier place of the corpus has, with that place's bytes."""
+    found = materialize(spans(docs, modulus, long_words), "line-spans")
     place = F.struct("_id", "_th", "start", "lines")
     kept = found.groupBy("ck").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").drop("n")
-    kept = materialize(kept, "line-keepers")
-    if passages:
-        # stretches overlap: one that reaches into its own earlier place stays. Bytes go once a passage, not once a stretch
-        own = (F.col("_id") == F.col("keep._id")) & (F.col("_th") == F.col("keep._th")) & (F.col("start") < F.col("keep.start") + F.col("keep.lines"))
-        found = _merged(found.join(kept, "ck").where((place != F.col("keep")) & ~own)).withColumn("ck", F.xxhash64("keep"))
-        found = materialize(found, "line-passages")
-        kept = found.select("ck", "keep").distinct()
-        same = F.col("at") == F.col("keep")
-        found = found.withColumnRenamed("keep", "at")
-    else:
-        same = place != F.col("keep")
+    kept = materialize(kept, "line-keepers")  # a table, so that AQE can split the join at a span that very many documents have
+    own = (F.col("_id") == F.col("keep._id")) & (F.col("_th") == F.col("keep._th")) & (F.col("start") < F.col("keep.start") + F.col("keep.lines"))
+    runs = _merged(found.join(kept, "ck").where((place != F.col("keep")) & ~own)).withColumn("ck", F.xxhash64("keep"))
+    runs = materialize(runs.withColumnRenamed("keep", "at"), "line-runs")
+    kept = runs.select("ck", F.col("at").alias("keep")).distinct()
     by_doc = kept.groupBy(F.col("keep._id").alias("_id"), F.col("keep._th").alias("_th")).agg(F.collect_list(F.struct("ck", "keep")).alias("ks"))
     # both sides of this join, and of the last one, grow with the corpus: neither is broadcast
     bytes_at = lambda split: F.transform("ks", lambda k: F.struct(k["ck"].alias("ck"), k["keep"].alias("keep"), _lines_at(split, k["keep"]["start"], k["keep"]["lines"]).alias("bytes")))
-    first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select(F.explode(F.flatten(F.transform(F.array(F.split("text", "\n", -1)), bytes_at))).alias("k")).select("k.*")
-    # one join on the chunk, each side an exchange of its own, so that AQE can split a chunk that very many documents have
-    pairs = found.join(first, "ck").where(same).select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
+    first = _keyed(docs).join(by_doc.hint("merge"), ["_id", "_th"]).select(F.explode(_once(F.split("text", "\n", -1), bytes_at)).alias("k")).select("k.*")
+    # one join on the run, each side an exchange of its own, so that AQE can split a run that very many documents have
+    pairs = runs.join(first, "ck").where("at = keep").select("_id", "_th", F.struct("start", "lines", "bytes").alias("r"))
     return pairs.groupBy("_id", "_th").agg(F.collect_set("r").alias("rm"))
 
 
-def without_repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, counted: bool = False, passages: bool = False) -> DataFrame:
-    """``docs`` with every chunk of lines removed that an earlier place has, byte for byte; n_chars, if there, is renewed.
+def without_repeats(docs: DataFrame, modulus: int = MODULUS, long_words: int = LONG_WORDS, counted: bool = False) -> DataFrame:
+    """``docs`` with every run of lines removed that an earlier place has, byte for byte; n_chars, if there, is renewed.
 
-    The earliest place is that of the smallest doc_id (nulls first), text hash and line. Chunks are cut by
-    content (see ``_starts``), so a passage moved to other lines is cut alike. Only chunks of two lines with
-    words, or one line of ``long_words`` words, go. With ``passages`` every run of lines goes as well that has
-    ``long_words`` words or more together and that an earlier place has, wherever chunks are cut; the first copy
-    of each removed line stays. All rows stay: a text that loses every line is empty; null
-    and empty texts are unchanged. Repeated rows (equal id and text) are one document and are treated alike. ``counted`` adds ``removed_lines``.
-    Extra columns pass through, save names that begin with ``_``.
+    A run is two lines with words that follow each other, blank lines between them included, or one line of
+    ``long_words`` words, or any longer run made of these. Content-defined chunks find the long ones, and stretches
+    of two lines carry them on to both sides, so what is removed does not depend on where chunks are cut. The
+    earliest place is that of the smallest doc_id (nulls first), text hash and line; it stays, so each line's first
+    copy stays, and a run that reaches into its own first place stays too. All rows stay: a text that loses every
+    line is empty; null and empty texts are unchanged. Repeated rows (equal id and text) are one document and are
+    treated alike. ``counted`` adds ``removed_lines``. Extra columns pass through, whatever their names.
     """
     names = docs.columns
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(repeats(docs, modulus, long_words, passages).hint("merge"), ["_id", "_th"], "left")
-    equal = F.flatten(F.transform(F.array(F.split("text", "\n", -1)), lambda split: F.filter("rm", lambda r: _lines_at(split, r["start"], r["lines"]) == r["bytes"])))
-    joined = joined.withColumn("_rm", F.array_distinct(F.flatten(F.transform(equal, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1)))))
-    split = F.split("text", "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_rm"))
-    joined = joined.withColumn("_lines", split).withColumn("_rest", rest)
-    text = F.when(F.size("_rm") > 0, F.array_join(F.transform("_rest", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.size("_rm") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    if counted:
-        joined = joined.withColumn("removed_lines", F.greatest(F.coalesce(F.size("_rm"), F.lit(0)), F.lit(0)).cast("long"))
-    return joined.select(*names, *(["removed_lines"] if counted else []))
+    row = F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row")
+    own = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    joined = own.join(repeats(docs, modulus, long_words).hint("merge"), ["_id", "_th"], "left")
+
+    def cut(split: Column) -> Column:
+        equal = F.filter("rm", lambda r: _lines_at(split, r["start"], r["lines"]) == r["bytes"])
+        gone = F.array_distinct(F.flatten(F.transform(equal, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1))))
+
+        def rest(gone: Column) -> Column:
+            left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+            return F.struct(F.size(gone).cast("long").alias("gone"), F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n").alias("text"))
+
+        return _once(gone, rest)
+
+    joined = joined.select("_row", F.when(F.col("rm").isNotNull(), _once(F.split(F.col("_row.text").cast("string"), "\n", -1), cut)).alias("_new"))
+    changed, text = F.coalesce(F.col("_new.gone") > 0, F.lit(False)), F.col("_new.text")
+    renewed = {"text": text, "n_chars": F.length(text).cast("long")}
+    out = [(F.when(changed, renewed[n]).otherwise(F.col("_row")[n]) if n in renewed else F.col("_row")[n]).alias(n) for n in names]
+    return joined.select(*out, *([F.coalesce("_new.gone", F.lit(0)).cast("long").alias("removed_lines")] if counted else []))

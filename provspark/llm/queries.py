@@ -93,20 +93,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with d as (select distinct doc_id, text from documents where text is not null),
-l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from documents where text is not null),
-c as (select line, count(*) as c from l group by line having count(*) > 1),
-r as (select distinct l.doc_id, l.pos, l.line, c, ('0x' || substr(md5(l.line), 1, 15))::bigint as h, len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+')) as words from l join c using (line)),
-f as (select *, words >= 50 as long, lag(pos) over w as p1, lag(h) over w as h1, lag(words >= 50) over w as long1, lag(c) over w as c1, lag(pos, 2) over w as p2, lag(h, 2) over w as h2 from r window w as (partition by doc_id order by pos)),
-s as (select *, p1 is null or pos <> p1 + 1 or long or long1 or c > 2 * c1 or c1 > 2 * c or ((h1 % 1000003) * 31 + case when p2 + 1 = p1 then h2 % 1000003 else 0 end) % 3 = 0 as first from f),
-k as (select *, count(*) filter (where first) over (partition by doc_id order by pos) as chunk from s),
-g as (select doc_id, chunk, min(pos) as start, string_agg(line, chr(10) order by pos) as bytes, count(*) filter (where words > 0) as solid, bool_or(long) as long from k group by doc_id, chunk),
-z as (select doc_id, chunk, row_number() over (partition by bytes order by doc_id nulls first, start) as place from g where long or solid >= 2),
-gone as (select k.doc_id, k.pos from k join z on k.doc_id is not distinct from z.doc_id and k.chunk = z.chunk where place > 1),
-n as (select doc_id, count(*) as removed_lines from gone group by doc_id),
-rest as (select l.doc_id, string_agg(l.line, chr(10) order by l.pos) as text from l left join gone on l.doc_id is not distinct from gone.doc_id and l.pos = gone.pos where gone.pos is null and l.doc_id in (select doc_id from n) group by l.doc_id)
-select o.doc_id, case when n.removed_lines is null then o.text else coalesce(rest.text, '') end as text, coalesce(n.removed_lines, 0) as removed_lines
-from documents o left join n using (doc_id) left join rest using (doc_id)
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
+l as (select doc_id, unnest(range(len(lines))) as a, unnest(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) as words from d),
+w as (select *, lead(a) over (partition by doc_id order by a) as next from l where words > 0),
+p as (select doc_id, a, next as b from w where next is not null union all select doc_id, a, a from w where words >= 50),
+s as (select doc_id, a, b, array_to_string(lines[a + 1 : b + 1], chr(10)) as bytes from p join d using (doc_id)),
+f as (select *, first_value(doc_id) over o as first_id, first_value(b) over o as first_b, row_number() over o as place from s window o as (partition by bytes order by doc_id, a)),
+gone as (select distinct doc_id, unnest(range(a, b + 1)) as pos from f where place > 1 and not (doc_id = first_id and a <= first_b)),
+g as (select doc_id, list(pos) as gone from gone group by doc_id)
+select o.doc_id, case when g.gone is null then o.text else array_to_string([lines[i + 1] for i in range(len(lines)) if not list_contains(g.gone, i)], chr(10)) end as text, coalesce(len(g.gone), 0) as removed_lines
+from documents o left join d using (doc_id) left join g using (doc_id)
 """
 
 

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from provspark.llm import decontam, linededup, lmscore, qualityclf, qualityrules, queries, sharding, urlfilter
 
@@ -148,49 +150,21 @@ def test_log_ratio_matches_plain_version(spark, corpus, empty):
 # line dedup
 
 
-def plain_dedup(rows, modulus=linededup.MODULUS, long_words=linededup.LONG_WORDS):
-    """The rule stated line by line in plain loops."""
-    import hashlib
-
-    digest = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
-    docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    count = Counter(line for _, t in rows if t is not None for line in t.split("\n"))
-    found = {}
-    for doc in docs:
-        lines, chunk = doc[1].split("\n"), []
-        chunks = []
-        for i, line in enumerate(lines):
-            if count[line] < 2:
-                chunk = []
-                continue
-            h, n, long = digest(line), count[line], len(words(line)) >= long_words
-            if chunk:
-                (ph, pn, plong, prev) = chunk[-1]
-                before = chunk_lines[-2] if len(chunk_lines) > 1 else None
-                rolled = ph % 1000003 * 31 + (digest(before) % 1000003 if before is not None else 0)
-                start = long or plong or n > 2 * pn or pn > 2 * n or rolled % modulus == 0
-            if not chunk:
-                run_start, chunk_lines = i, []
-                start = True
-            if start:
-                chunks.append([])
-            chunks[-1].append((i, line))
-            chunk.append((h, n, long, line))
-            chunk_lines.append(line)
-        for c in chunks:
-            text = tuple(line for _, line in c)
-            if sum(bool(words(x)) for x in text) >= 2 or len(words(text[0])) >= long_words:
-                found.setdefault(text, []).append((doc, c[0][0], len(c)))
-    gone = Counter()
-    removed = {}
-    for places in found.values():
-        for doc, start, n in places[1:]:
-            removed.setdefault(doc, set()).update(range(start, start + n))
+def plain_dedup(rows, long_words=linededup.LONG_WORDS):
+    """The rule in plain loops: two neighbouring lines with words, or one long line, go if an earlier place has them."""
+    first, removed = {}, {}
+    for doc in sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines = doc[1].split("\n")
+        solid = [i for i, x in enumerate(lines) if words(x)]
+        for a, b in sorted([*zip(solid, solid[1:]), *((i, i) for i in solid if len(words(lines[i])) >= long_words)]):
+            where, end = first.setdefault(tuple(lines[a : b + 1]), (doc, b))
+            if where != doc or a > end:
+                removed.setdefault(doc, set()).update(range(a, b + 1))
     out = []
     for d, t in rows:
         cut = removed.get((d, t), set())
         out.append((d, t if not cut else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut), len(cut)))
-    return out, gone
+    return out, removed
 
 
 def test_line_dedup_matches_plain_version(spark, corpus):
@@ -239,41 +213,116 @@ def test_lm_counts_and_scores(spark, corpus, empty):
     assert lmscore.score(empty).count() == 0
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    seen = rng.integers(0, 3, (lmscore.TEMPLATES * lmscore.BUCKETS, lmscore.CLASSES)).astype(float)
-    model = lmscore.Model(seen, rng.integers(1, 50, lmscore.CLASSES).astype(float))
-    rows = lmscore.features(rng.integers(0, 2**63, 50).astype(np.uint64))
-    assert np.allclose(model.shares(rows).sum(axis=1), 1, atol=1e-5)
-    classes = np.arange(50) % lmscore.CLASSES
-    assert np.allclose(model.log_p(rows, classes), np.log(model.shares(rows)[np.arange(50), classes]), atol=1e-4)
+def plain_code(word):
+    """A word's code by scalar arithmetic."""
+    mask = 2**64 - 1
+    if word == "\n":
+        return int(lmscore.END)
+    raw = word.encode()
+    h = sum(int(lmscore._TABLE[min(i, 63) * 256 + b]) for i, b in enumerate(raw)) * int(lmscore._SALTS[0]) & mask
+    if len(raw) > 64:
+        h = xxhash.xxh64_intdigest(raw)
+    h ^= h >> 32
+    last = sum((raw[-1 - k] if k < len(raw) else 0) << 8 * (2 - k) for k in range(3))
+    last = (last + 1) * int(lmscore._SALTS[1]) % 2**64 >> 40
+    return h >> 10 << 10 | (last % (lmscore.ENDINGS - 1) + 1)
+
+
+def plain_score(model, floor, count, ws):
+    """log10 probability of a text, token by token, every class and group summed."""
+    salts, mask, total = [int(x) for x in lmscore._SALTS], 2**64 - 1, 0.0
+    codes = [0, 0, 0, *map(plain_code, ws)]
+    for i, w in enumerate(ws):
+        three, two, one = codes[i : i + 3]
+        hashed = [(k + t + 1) * salts[t] & mask for t, k in enumerate((one, two, three, one * salts[3] + two & mask))]
+        e = codes[i + 3] % lmscore.ENDINGS
+        c, g = int(model.class_of[e]), int(model.group_of[e])
+        for factor, bias, rows, own in (
+            (model.first, 0, [(k >> 52) + t * lmscore.BUCKETS for t, k in enumerate(hashed)], c),
+            (model.second, c, [(((k ^ (c + 1) * salts[2] & mask) * salts[1] & mask) >> 50) + t * 4 * lmscore.BUCKETS for t, k in enumerate(hashed)], g),
+        ):
+            z = factor.bias[bias].astype(float) + sum(factor.weights[r].astype(float) for r in rows)
+            total += (z[own] - math.log(np.exp(z).sum())) / math.log(10)
+        total += math.log10(count[w] + 1) - floor[c, g]
+    return total
+
+
+def test_lm_score_matches_brute_force(spark, corpus):
+    docs = corpus.where("length(text) < 20000 or text is null")
+    train = lmscore.coded(docs).where("not held")
+    counts = lmscore.word_counts(train)
+    model, floor, total, distinct = lmscore.learn(train, counts)
+    rows = docs.collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(w for r in rows if not held(r.doc_id) for w in [*words(r.text), "\n"])
+    assert (total, distinct) == (sum(count.values()), len(count))
+    assert {r.word: r.c for r in counts.collect()} == {int(np.uint64(plain_code(w)).view(np.int64)): c for w, c in count.items()}
+    got = {(r.doc_id, r.n_tokens): r.score for r in lmscore.score(docs, frequent=30).collect()}
+    for r in rows:
+        ws = [*words(r.text), "\n"]
+        assert got[r.doc_id, len(ws)] == pytest.approx(plain_score(model, floor, count, ws), abs=1e-3 * len(ws)), r.doc_id
+    # the shares of a group's words and of one not seen are all of it
+    shares = Counter()
+    for w, c in count.items():
+        e = plain_code(w) % lmscore.ENDINGS
+        shares[int(model.class_of[e]), int(model.group_of[e])] += c + 1
+    assert all(10 ** floor[k] == pytest.approx(n + (k != (0, 0))) for k, n in shares.items())  # nothing else can be the end
+
+
+def lm_blocks(seed=1, n=4):
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(["and", "bird", "cold", "door", "even"], 300, p=[0.4, 0.3, 0.1, 0.1, 0.1])) for _ in range(n)]
+    return [lmscore.Block.of(pa.array(texts[i : i + 2])) for i in range(0, n, 2)]
+
+
+def test_blocks_keep_their_texts():
+    texts = pa.array([None, "", " a  B a\t", "x" * 100, "y", "\x0b\x0c", "é é ß", "a b"])
+    for start, size in ((0, 8), (2, 4), (7, 1), (0, 1), (3, 0)):
+        part = texts.slice(start, size)
+        block = lmscore.Block.unpacked(*lmscore.Block.of(part).packed())
+        want = [plain_code(w) for t in part.to_pylist() for w in [*words(t), "\n"]]
+        assert block.words[block.ids].tolist() == want
+        assert block.sizes.tolist() == [len(words(t)) + 1 for t in part.to_pylist()]
 
 
 def test_texts_together_are_as_apart():
-    rng = np.random.default_rng(3)
-    texts = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (1, 5, 2, 9)]
-    apart = [lmscore.features(t) for t in texts]
-    for t, rows in enumerate(lmscore.features_of(texts)):
+    texts = ["a b c d e f", "a", None, "b a d", "c c"]
+    together = lmscore.Block.of(pa.array(texts)).rows()
+    apart = [lmscore.Block.of(pa.array([t], pa.string())).rows() for t in texts]
+    for t, rows in enumerate(together):
         assert rows.tolist() == [x for a in apart for x in a[t].tolist()]
 
 
 def test_updates_follow_the_gradient():
-    rng = np.random.default_rng(1)
-    texts = [rng.choice([1 << 20, 2 << 20, 3 << 20, 4 << 20], 200, p=[0.5, 0.3, 0.1, 0.1]).astype(np.uint64) for _ in range(4)]
-    data = [(lmscore.features(t), (np.roll(t, 1) >> np.uint64(20)).astype(np.int64)) for t in texts]
-    seen = np.zeros((lmscore.TEMPLATES * lmscore.BUCKETS, lmscore.CLASSES), np.float32)
-    for rows, classes in data:
-        lmscore._see(seen, rows, classes)
-    model = lmscore.Model(seen, np.bincount(np.concatenate([c for _, c in data]), minlength=lmscore.CLASSES))
-    likelihood = [sum(model.log_p(r, c).sum() for r, c in data)]
-    for _ in range(3):
-        expected = np.zeros_like(seen)
-        for rows, classes in data:
-            lmscore._expect(model)(expected, rows, classes)
-        assert expected.sum() == pytest.approx(seen.sum(), rel=1e-3)
-        model.update(seen, expected)
-        likelihood.append(sum(model.log_p(r, c).sum() for r, c in data))
-    assert likelihood == sorted(likelihood)
+    blocks = lm_blocks()
+    single = sum(np.bincount(lmscore.endings(b.words)[b.ids], minlength=lmscore.ENDINGS) for b in blocks)
+    beside = np.random.default_rng(2).random((lmscore.ENDINGS, lmscore.ENDINGS)) * np.outer(single, single)
+    class_of, group_of = lmscore.learn_classes(beside, single)
+    seen = [np.zeros(s, np.int64) for s in lmscore.SHAPES]
+    for b in blocks:
+        lmscore.see(b, class_of, group_of, *seen)
+    tokens = sum(len(b.ids) for b in blocks)
+    assert [int(t.sum()) for t in seen] == [lmscore.TEMPLATES * tokens] * 2
+    model = lmscore.start(seen, single, class_of, group_of)
+    likelihood = [sum(model.log_p(b).sum() for b in blocks)]
+    for k in range(3):
+        expected = [np.zeros(s, np.int64) for s in lmscore.SHAPES]
+        for i, b in enumerate(blocks):
+            lmscore.expect(b, model, *expected, seed=10 * k + i)
+        assert [int(t.sum()) for t in expected] == [lmscore.TEMPLATES * tokens] * 2
+        model.first.update(seen[0], expected[0])
+        model.second.update(seen[1], expected[1])
+        likelihood.append(sum(model.log_p(b).sum() for b in blocks))
+    assert likelihood[-1] > likelihood[0]
+
+
+def test_draws_follow_the_softmax():
+    rng = np.random.default_rng(0)
+    z = np.tile(rng.normal(0, 1.5, 8).astype(np.float32), (40_000, 1))
+    p = np.exp(z[0]) / np.exp(z[0]).sum()
+    assert np.allclose(lmscore.log_share(z.copy(), np.full(len(z), 3))[0], np.log(p[3]), atol=1e-5)
+    found = np.bincount(lmscore.drawn(z.copy(), rng.random(len(z), np.float32)), minlength=8) / len(z)
+    assert np.abs(found - p).max() < 0.01
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
