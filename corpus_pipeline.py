@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provspark.llm import decontam, packing, qualityclf, linededup, simhash
-from provspark.llm.common import materialize, scratch_path
+from provspark.llm.common import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that an earlier document has; n_chars follows the text."""
+    """Documents without runs of lines that an earlier place has; n_chars follows the text."""
     return linededup.without_repeats(docs)
 
 
@@ -24,11 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item, without runs of lines of 50 words or more that an earlier place still has.
-
-    The runs go first, so that the texts that are searched are those that are packed.
-    """
-    docs = materialize(linededup.without_repeats(docs, passages=True), "passages")
+    """Documents that contain no benchmark item."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
