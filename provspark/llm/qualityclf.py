@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import text_bytes
+from provspark.llm.common import materialize, text_bytes
 
 FILTERS, WIDTH, CHUNK = 8, 4, 512
 #: Labelled rows that a model is fitted on, at most, for each class.
@@ -51,13 +52,6 @@ def activations(data: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def pooled(total: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Each chunk's largest response of each filter, through tanh: (chunks, F). Chunks overlap by half."""
-    halves = np.maximum.reduceat(total, chunk_starts(len(total)), axis=0)
-    whole = np.maximum(halves, np.concatenate([halves[1:], halves[-1:]]))
-    return np.tanh(whole + bias)
-
-
 def features(raw: bytes | None, tables: list[np.ndarray], bias: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Mean and largest pooled activation over all chunks of the whole text, and 1. Long texts go block by block."""
     data, parts = pad(raw), []
@@ -73,11 +67,11 @@ def probability(raw: bytes | None, net: Network, tables: list[np.ndarray]) -> fl
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[bytes | None], labels: list[int], epochs: int = 16, rate: float = 0.02, batch: int = 32, most: int = 40_000, seed: int = 7) -> Network:
+def fit(texts: Iterable[bytes | None], labels: list[int], epochs: int = 16, rate: float = 0.02, batch: int = 32, seed: int = 7) -> Network:
     """Adam on the log loss of the whole network, gradients through the pooling to each chunk's winning windows.
 
+    ``texts`` gives the whole texts anew, in the order of ``labels``, for each epoch; one batch is held at a time.
     Both classes weigh the same. One class or no rows: a constant network (0.5, or near the one class).
-    Texts over ``most`` bytes are shown as windows of that size at a new place each epoch; scoring uses whole texts.
     """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.15, (FILTERS, WIDTH, 256)), np.zeros(FILTERS), np.concatenate([rng.normal(0, 0.5, 2 * FILTERS), [0.0]]))
@@ -89,18 +83,12 @@ def fit(texts: list[bytes | None], labels: list[int], epochs: int = 16, rate: fl
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     values = [net.filters, net.bias, net.out]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    data = [pad(t) for t in texts]
     for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
+        rows = zip(texts, y, share)
+        while chosen := list(islice(rows, batch)):
             tables, grads = net.tables(), [np.zeros_like(v) for v in values]
-            chosen = order[at : at + batch]
-            for i in chosen:
-                x = data[i]
-                if len(x) > most:
-                    lo = int(rng.integers(0, len(x) - most))
-                    x = x[lo : lo + most]
-                _backward(x, y[i], share[i] / len(chosen), net, tables, grads)
+            for raw, label, weight in chosen:
+                _backward(pad(raw), label, weight / len(chosen), net, tables, grads)
             step += 1
             for k, (v, g) in enumerate(zip(values, grads)):
                 g = g + 1e-4 * v
@@ -110,16 +98,23 @@ def fit(texts: list[bytes | None], labels: list[int], epochs: int = 16, rate: fl
     return net
 
 
+def winners(x: np.ndarray, tables: list[np.ndarray], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Of each half chunk of a whole padded text, block by block: each filter's largest response, and the window that has it."""
+    width, top, at = CHUNK // 2, [], []
+    for lo in range(0, len(x) - WIDTH + 1, block):
+        total = activations(x[lo : lo + block + WIDTH - 1], tables)
+        n = -(-len(total) // width)
+        cells = np.full((n * width, FILTERS), -np.inf, np.float32)
+        cells[: len(total)] = total
+        best = cells.reshape(n, width, FILTERS).argmax(axis=1) + chunk_starts(len(total))[:, None]
+        top.append(np.take_along_axis(total, best, axis=0))
+        at.append(best + lo)
+    return np.concatenate(top), np.concatenate(at)
+
+
 def _backward(x: np.ndarray, y: float, weight: float, net: Network, tables: list, grads: list) -> None:
-    total = activations(x, tables)
-    starts = chunk_starts(len(total))
-    n, cols = len(starts), np.arange(FILTERS)
-    width = CHUNK // 2
-    padded = np.full((n * width, FILTERS), -np.inf, np.float32)
-    padded[: len(total)] = total
-    cells = padded.reshape(n, width, FILTERS)
-    win = cells.argmax(axis=1) + starts[:, None]
-    halves = total[win, cols]
+    halves, win = winners(x, tables)
+    n, cols = len(halves), np.arange(FILTERS)
     after = np.concatenate([halves[1:], halves[-1:]])
     win = np.where(after > halves, np.concatenate([win[1:], win[-1:]]), win)
     acts = np.tanh(np.maximum(halves, after) + net.bias)
@@ -140,33 +135,37 @@ def held_out(column: str = "doc_id", modulus: int = 4, remainder: int = 2):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-#: Spans of a very long text that the fit sees, and their bytes.
-SPANS, SPAN = 10, 40_000
+class Sample:
+    """The whole texts of a fit, in one order, as often as they are asked for.
+
+    Up to ``most`` bytes are kept in the driver; beyond that every epoch reads them again from their table in the
+    shared folder, a small partition at a time. Both ways give the same texts in the same order.
+    """
 
+    def __init__(self, rows: DataFrame, most: int = 100_000_000):
+        held = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+        self.rows = rows
+        self.kept = [bytes(r.raw or b"") for r in rows.orderBy("h", "doc_id").select("raw").toLocalIterator()] if held <= most else None
 
-def _spans(raw):
-    at = [F.substring(raw, (F.octet_length(raw) * i / SPANS).cast("int") + 1, F.lit(SPAN)) for i in range(SPANS)]
-    return F.when(F.octet_length(raw) > SPANS * SPAN, F.concat(*at)).otherwise(raw)
+    def __iter__(self) -> Iterator[bytes]:
+        if self.kept is not None:
+            return iter(self.kept)
+        return (bytes(r.raw or b"") for r in self.rows.repartitionByRange(200, "h").sortWithinPartitions("h", "doc_id").select("raw").toLocalIterator())
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
     """Fit on at most ``per_class`` labelled rows of each class that are not held out, chosen by a hash of the id.
 
-    Null labels or ids take no part; an id with several labels counts as its smallest one. Of a text over
-    SPANS * SPAN bytes the fit sees that many spans, evenly placed; scoring always reads whole texts.
+    Null labels or ids take no part; an id with several labels counts as its smallest one, an id with several texts
+    by its smallest one. Rows are bounded, texts are not: the fit sees all of each text.
     """
-    own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    own = own.where(~held_out()).withColumn("_h", F.xxhash64("doc_id", F.lit(17)))
-    parts = [own.where(F.col("_y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
-    picked = parts[0].unionByName(parts[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "_y", "_h", _spans(F.encode("text", "UTF-8")).alias("raw")).toLocalIterator()
-    seen: dict = {}
-    for r in rows:  # at most 2 * per_class ids; a repeated id gives its smallest text
-        if r.doc_id not in seen or bytes(r.raw or b"") < seen[r.doc_id][1]:
-            seen[r.doc_id] = (r._y, bytes(r.raw or b""), r._h)
-    ordered = [seen[d] for d in sorted(seen)]
-    return fit([t for _, t, _ in ordered], [y for y, _, _ in ordered])
+    own = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    own = own.where(~held_out()).withColumn("h", F.xxhash64("doc_id", F.lit(17)))
+    parts = [own.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
+    rows = texts.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # at most 2 * per_class ids
+    rows = materialize(rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("h").alias("h"), F.min("raw").alias("raw")), "clf-sample")
+    return fit(Sample(rows), [r.y for r in rows.select("y", "h", "doc_id").orderBy("h", "doc_id").collect()])
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
@@ -185,7 +184,14 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents the classifier accepts, told by their text, so that an accepted text takes no other of its id along."""
-    own = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    good = score(own.withColumn("doc_id", F.col("_th")), train(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("_th")).distinct()
-    return own.join(good, "_th", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose text the classifier accepts, whatever their id; a row's own text decides, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        tables = net.tables()
+        for batch in batches:
+            yield batch.filter(pa.array([probability(x, net, tables) >= threshold for x in text_bytes(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
