@@ -69,7 +69,37 @@ def ancestry_sql(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> Data
     return edges.sparkSession.sql(ANCESTRY_SQL.format(start=start.columns[0], starts="_starts", edges="_edges", depth=depth))
 
 
-def chain(revisions: DataFrame, key: str = "fingerprint", parent: str = "revision_of", depth: int = DEPTH) -> DataFrame:
-    """``(start, node, depth)``: each revision and those it stems from."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(start, node, depth)`` of every node reached over ``edges(child, parent)`` from any other, at its least depth.
+
+    Distances double: pairs exactly as far apart as has been walked are joined to all pairs known, so the rounds are the
+    logarithm of the longest way. Cycles end, as known pairs are not walked again. Every round is a table in the shared
+    folder.
+    """
+    pairs = edges.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("start"), F.col("parent").alias("node")).distinct()
+    reach, far, span = None, materialize(pairs.withColumn("depth", F.lit(1)), "closure"), 1
+    while not far.isEmpty():
+        reach = far if reach is None else reach.unionByName(far)
+        if depth is not None and span >= depth:
+            break
+        edge = far.where(F.col("depth") == span).select("start", F.col("node").alias("_via"))
+        more = edge.join(reach.select(F.col("start").alias("_via"), "node", (F.col("depth") + span).alias("depth")), "_via").where("start <> node")
+        least = more.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        far = materialize(least.join(reach.select("start", "node"), ["start", "node"], "left_anti"), "closure")
+        span *= 2
+    reach = far if reach is None else reach
+    return reach if depth is None else reach.where(F.col("depth") <= depth)
+
+
+def ancestries(edges: DataFrame, start: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+    """``ancestry`` for many starts, by ``closure``: few rounds for long ways, at the cost of pairs between all nodes."""
+    first = F.col(start.columns[0])
+    own = start.where(first.isNotNull()).select(first.alias("start")).distinct()
+    reached = closure(edges, depth).join(own, "start", "left_semi")
+    return own.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).unionByName(reached.select("start", "node", "depth"))
+
+
+def chain(revisions: DataFrame, key: str = "fingerprint", parent: str = "revision_of", depth: int | None = None) -> DataFrame:
+    """``(start, node, depth)``: each revision and all those it stems from, however many they are."""
     edges = revisions.where(F.col(parent).isNotNull()).select(F.col(key).alias("child"), F.col(parent).alias("parent"))
-    return ancestry(edges, revisions.select(key), depth)
+    return ancestries(edges, revisions.select(key), depth)

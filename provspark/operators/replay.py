@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.operators.check import cascade
+from provspark.operators.check import cascade, same_state
 
 #: Refusals in the order they are tried.
 REFUSALS = ("unsupported_operation", "unsupported_contract", "missing_input", "unsupported_context", "input_changed", "invalid_parameters")
 
 
+#: What an error of the computing library means for replay, by its kind and, for executions, its code.
+ERRORS = {"unknown_operation": "unsupported_operation", "incompatible_contract": "unsupported_contract", "invalid_parameters": "invalid_parameters", "x_alignment": "unsupported_context"}
+EXECUTIONS = {"invalid_parameters": "invalid_parameters", "input_mismatch": "unsupported_context", "unsupported_context": "unsupported_context"}
+
+
+def refusal_of_error(kind: Column, code: Column) -> Column:
+    """The refusal that an error stands for, or null: a fault of its own, not a refusal."""
+    known = cascade(*[(kind == k, r) for k, r in ERRORS.items()])
+    return F.when(kind == "execution", cascade(*[(code == k, r) for k, r in EXECUTIONS.items()])).otherwise(known)
+
+
 def input_status(inputs: DataFrame, live: DataFrame) -> DataFrame:
-    """``inputs(activity_id, position, state_id, object_uuid, fp_value, roi_digest, restorable)`` beside the live objects
-    ``(object_uuid, fp_now, roi_now)``: adds ``status`` missing, unsupported, altered, roi_changed, changed or available.
+    """``inputs(activity_id, position, state_id, object_uuid, fp_value, roi_digest, restorable[, file_status])`` beside the live
+    objects ``(object_uuid, fp_now, roi_now)``: adds ``status`` missing, unsupported, altered, changed, roi_changed or available.
+
+    ``file_status`` is that of the state when its workspace was opened; a state altered in the file is altered whatever
+    the live data are.
     """
     now = live.select("object_uuid", "fp_now", "roi_now").withColumn("_live", F.lit(True))
-    status = cascade(
-        (F.col("_live").isNull(), "missing"),
-        (F.col("fp_value").isNull() | F.col("fp_now").isNull(), "unsupported"),
-        (F.col("fp_value") != F.col("fp_now"), "input_changed"),
-        (~F.col("roi_digest").eqNullSafe(F.col("roi_now")), "roi_changed"),
-        otherwise="available",
-    )
+    file_status = F.col("file_status") if "file_status" in inputs.columns else None
+    same = same_state(F.when(F.col("fp_now").isNotNull(), F.col("fp_value")), F.col("fp_now"), F.col("roi_digest"), F.col("roi_now"), file_status)
+    status = F.when(F.col("_live").isNull(), "missing").otherwise(same)
     return inputs.join(now, "object_uuid", "left").withColumn("status", status).drop("_live", "fp_now", "roi_now")
 
 
@@ -34,7 +44,7 @@ def input_refusals(statuses: DataFrame) -> DataFrame:
         (F.col("status") == "missing", "missing_input"),
         (F.col("status") == "unsupported", "unsupported_context"),
         ((F.col("status") == "roi_changed") & ~F.coalesce("restorable", F.lit(False)), "input_changed"),
-        (F.col("status") == "input_changed", "input_changed"),
+        (F.col("status").isin("changed", "altered"), "input_changed"),
     )
     bad = statuses.withColumn("_code", code).where("_code is not null")
     order = F.struct(F.when(F.col("_code") == "missing_input", 0).otherwise(1).alias("late"), F.col("position"))

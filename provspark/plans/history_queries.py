@@ -137,7 +137,7 @@ walk as (select 'o' || o_orderkey as start, 'o' || o_orderkey as node, 0 as dept
 select start, node, min(depth) as depth from walk group by start, node
 """)
 def lineage_closure(t: Tables) -> DataFrame:
-    return graph.ancestry(_family(t), t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")))
+    return graph.ancestries(_family(t), t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")))
 
 
 @query("""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.catalog import Tables, query
-from provspark.functions import canon, environment
-from provspark.operators import check, compare, registry, review, workspace
+from provspark.functions import canon, environment, tree
+from provspark.operators import check, compare, registry, replay, review, workspace
 from provspark.operators.ledger import Ledgers
 from provspark.scratch import materialize, scratch_path
 from provspark.streaming import observe
@@ -288,3 +288,29 @@ def json_depths(t: Tables) -> DataFrame:
     depth = canon.json_depth(text)
     found = materialize(t.documents.where("n_chars is not null").select("doc_id", depth.alias("depth")), "depths")
     return found.select("doc_id", F.col("depth").cast("long").alias("depth"), (F.col("depth") > 6).alias("refused"))
+
+
+@query("""
+select l_partkey as object_uuid, case when count(*) % 7 = 3 then null else '{"indices":[' || string_agg(l_suppkey::varchar, ',' order by k) || '],"kind":"rect","n":' || count(*) || '}' end as json,
+  case when count(*) % 7 = 3 then 'no item ' || (count(*) - 1) || ': indices' end as problem
+from (select l_partkey, l_suppkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 as k from lineitem) group by l_partkey
+""")
+def stored_trees(t: Tables) -> DataFrame:
+    """Regions of interest as they are stored: a dictionary with a sequence of datasets, some without their last item."""
+    place = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    lines = t.lineitem.select(F.col("l_partkey").alias("object_uuid"), "l_suppkey", (F.row_number().over(place) - 1).alias("k"))
+    sizes = lines.groupBy("object_uuid").agg(F.count("*").alias("n"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    node = lambda rows, path, attributes, data: rows.select("object_uuid", path.alias("path"), attributes.alias("attributes"), data.alias("data"))
+    none = F.lit(None).cast("string")
+    roots = node(sizes, F.lit(""), text('{"__dict":true,"kind":"rect","n":', F.col("n"), "}"), none)
+    lists = node(sizes, F.lit("indices"), text('{"__seq":', F.col("n"), "}"), none)
+    whole = lines.join(sizes, "object_uuid").where("not (n % 7 = 3 and k = n - 1)")
+    return tree.decoded(roots.unionByName(lists).unionByName(node(whole, text("indices/__seq", F.col("k")), none, F.col("l_suppkey").cast("string"))), ["object_uuid"])
+
+
+@query("select o_orderkey, case o_orderstatus when 'P' then case when o_custkey % 3 = 0 then 'unsupported_context' when o_custkey % 3 = 1 then 'invalid_parameters' end when 'F' then 'unsupported_operation' end as refusal from orders")
+def error_codes(t: Tables) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "P", "execution").when(F.col("o_orderstatus") == "F", "unknown_operation").otherwise("other")
+    code = F.when(F.col("o_custkey") % 3 == 0, "input_mismatch").when(F.col("o_custkey") % 3 == 1, "invalid_parameters").otherwise("crashed")
+    return t.orders.select("o_orderkey", replay.refusal_of_error(kind, code).alias("refusal"))

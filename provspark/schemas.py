@@ -1,21 +1,7 @@
-"""Tables of the model, as DDL; every operator says which columns it reads."""
+"""Patterns of identifiers."""
 
 from __future__ import annotations
 
-ENVIRONMENTS = "environment_id string, edition string, edition_version string, edition_revision string, python struct<implementation:string,version:string>, platform string, machine string, pyodide string, packages map<string,string>, record_json string"
-STATES = "workspace_id string, state_id string, object_uuid string, kind string, fp_scheme string, fp_value string, dtype string, length long, shape array<long>, rows array<string>, units map<string,string>, limits array<string>, roi struct<definition:string,digest:string>, produced_by string, sequence long, pos long"
-ACTIVITIES = "workspace_id string, activity_id string, ord long, command_id string, operation struct<id:string,contract_version:int>, parameters string, implementation struct<package:string,version:string,python_name:string>, context string, limits array<string>, environment_id string, edition string, origin string, status string, started_at string, finished_at string, legacy string"
-ACTIVITY_INPUTS = "workspace_id string, activity_id string, position int, role string, state_id string, object_uuids array<string>"
-ACTIVITY_OUTPUTS = "workspace_id string, activity_id string, position int, role string, state_id string, artifact struct<kind:string,object_uuid:string,key:string,digest:string>"
-LOCATORS = "workspace_id string, state_id string, kind string, path string"
-MANIFEST_ENTITIES = "manifest string, ord long, id string, type string, props map<string,string>"
-MANIFEST_EDGES = "manifest string, src string, prop string, pos int, dst string"
-ATTACHMENTS = "name string, media_type string, size long, sha256 string, description string"
-REVISIONS = "fingerprint string, name string, description string, revision_of string, date_published string, workspace_referenced boolean, published_at string"
-REVIEWS = "fingerprint string, target string, reviewer string, verdict string, date string, published_at string"
-REGISTRY_ATTACHMENTS = "fingerprint string, name string, media_type string, size long, sha256 string, description string, stored boolean"
-PROBLEMS = "subject string, problem string"
-
 #: Patterns of identifiers. The end is strict: no line break may follow.
 DIGEST = r"^sha256:[0-9a-f]{64}\z"
 HEX64 = r"^[0-9a-f]{64}\z"

@@ -228,6 +228,25 @@ def test_ancestry_ends_in_cycles(spark):
     assert {tuple(r) for r in graph.ancestry(edges, start).collect()} == want
     assert {tuple(r) for r in graph.ancestry_sql(edges, start.where("s is not null")).collect()} == want
     assert max(r.depth for r in graph.ancestry(edges, start, depth=1).collect()) == 1
+    assert {tuple(r) for r in graph.ancestries(edges, start).collect()} == want
+
+
+def test_closure_of_random_graphs_and_long_chains(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((12, 14), (12, 30), (1, 0)):
+        pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, n, (m, 2))]
+        want = {}
+        for s in {a for a, _ in pairs}:
+            level, seen, d = {s}, {s}, 0
+            while level:
+                want |= {(s, x): d for x in level if d}
+                level, d = {b for a, b in pairs if a in level} - seen, d + 1
+                seen |= level
+        edges = spark.createDataFrame(pairs, "child string, parent string")
+        assert {(r.start, r.node): r.depth for r in graph.closure(edges).collect()} == want
+    line = spark.range(300).selectExpr("id as fingerprint", "case when id > 0 then id - 1 end as revision_of")
+    assert graph.chain(line).count() == 300 * 301 // 2
+    assert graph.chain(line, depth=64).agg({"depth": "max"}).first()[0] == 64
 
 
 def test_unique_names_pass_over_taken_ones(spark):
