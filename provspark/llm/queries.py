@@ -49,7 +49,7 @@ OP3_SQL = """
 with d as (select doc_id, coalesce(text, '') as t, coalesce(doc_id::varchar, '') as key from documents),
 b as (select doc_id, key, octet_length(encode(t)) + 1 as size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::bigint) as bytes from d),
 c as (select doc_id, key, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) as crc from b),
-s as (select *, list_transform(range(9), lambda s: -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::bigint + 0.5) / 4503599627370496.0)) as scores, ('0x' || substr(md5(key || ':block'), 1, 13))::bigint % 4096 as block from c),
+s as (select *, list_transform(range(9), lambda s: -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::bigint + 0.5) / 4503599627370496.0)) as scores, ('0x' || substr(md5(key || ':' || crc || ':block'), 1, 13))::bigint % 4096 as block from c),
 p as (select *, list_position(scores[1:8], list_min(scores[1:8])) - 1 as shard, list_position(scores, list_min(scores)) - 1 as grown_shard from s)
 select doc_id, size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by block, doc_id nulls first, crc, size) - 1 as slot, grown_shard from p
 """

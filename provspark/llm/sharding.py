@@ -30,27 +30,26 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: Sequen
 
     size: UTF-8 bytes of the text (null: none) plus 1; text_crc32: of those bytes. Shard and grown_shard (by
     ``grown``, one more shard of weight 1 unless given) follow from doc_id and the shards alone; null ids share
-    a key. slot numbers a shard's rows from 0 without gaps by block of the key's hash, doc_id, crc32 and size,
-    whatever the input's order or partitions; equal rows take any order among themselves. Blocks, not shards, are
-    sorted, so a large shard is numbered by many tasks. Extra columns are ignored.
+    a key. slot numbers a shard's rows from 0 without gaps by block, doc_id, crc32 and size, whatever the input's
+    order or partitions; equal rows take any order among themselves. A block follows from the hash of id and
+    crc32, and equal rows are counted before they are numbered, so neither a large shard nor a hot id or text is one
+    task. Extra columns are ignored.
     """
     grown = tuple(weights) + (1.0,) if grown is None else grown
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    crc = F.crc32(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        shard_of(key, weights).alias("shard"),
-        shard_of(key, grown).alias("grown_shard"),
-        (_hash52(key, "block") % BLOCKS).cast("int").alias("_block"),
-    )
-    sizes = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
+    block = (_hash52(F.concat(key, F.lit(":"), F.col("text_crc32").cast("string")), "block") % BLOCKS).cast("int")
+    equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_times"))
+    equal = equal.select("*", shard_of(key, weights).alias("shard"), shard_of(key, grown).alias("grown_shard"), block.alias("_block"))
+    sizes = equal.groupBy("shard", "_block").agg(F.sum("_times").alias("_n"))
     before = sizes.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("_row", F.row_number().over(order)).join(F.broadcast(before), ["shard", "_block"])  # at most BLOCKS rows a shard
-    return numbered.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"), "grown_shard")
+    order = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = equal.withColumn("_row", F.coalesce(F.sum("_times").over(order), F.lit(0))).join(F.broadcast(before), ["shard", "_block"])  # at most BLOCKS rows a shard
+    first = F.col("_before") + F.col("_row")
+    each = numbered.withColumn("slot", F.explode(F.sequence(first, first + F.col("_times") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * 8, files: int = 1) -> None:
