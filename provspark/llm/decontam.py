@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import text_bytes, words_of
+from provspark.llm.common import materialize, text_bytes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Shingles of the test items that one pass over the documents carries; more items take more passes.
-PASS_SHINGLES = 2_000_000
+#: Shingles of the test items, about, that one pass over the documents carries (some 150 bytes each in a Python worker);
+#: more items take more passes, one after the other.
+PASS_SHINGLES = 1_000_000
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,19 +125,31 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE, thr
     text, and documents with null or empty text, match nothing. Repeated rows are reported once a row. The items
     are a stated query set: they go to the executors in blocks of bounded size, each a pass over the documents.
     """
-    blocks, block, held = [], [], 0
+    out, found = None, None
+    for part in _item_blocks(items):
+        if found is not None:  # there is another block: the one before is searched now, and its sketches go
+            out, found = _joined(out, materialize(found, "contained")), None
+        found = _search(docs, Sketches(part, width, threshold))
+    return _joined(out, found)
+
+
+def _joined(out: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if out is None else out.unionByName(more)
+
+
+def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes | None]]]:
+    """The items in blocks of bounded size, at least one; the driver holds one block at a time."""
+    block, held, any_yet = [], 0, False
     for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         raw = None if row.t is None else row.t.encode()
+        size = len(raw or b"") // 4 + 1
+        if block and held + size > PASS_SHINGLES:
+            yield block
+            block, held, any_yet = [], 0, True
         block.append((row.i, raw))
-        held += len(raw or b"") // 4 + 1
-        if held > PASS_SHINGLES:
-            blocks, block, held = [*blocks, block], [], 0
-    blocks.append(block)
-    out = None
-    for part in blocks:
-        found = _search(docs, Sketches(part, width, threshold))
-        out = found if out is None else out.unionByName(found)
-    return out
+        held += size
+    if block or not any_yet:
+        yield block
 
 
 def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
@@ -153,9 +166,22 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no test item. Rows are told by their text, whatever their id: a row without an id
-    goes like others, and a clean text stays beside a contaminated one of the same id.
+    """The rows of ``docs`` whose text contains no test item, whatever their id; a row's own text decides, without a shuffle.
+
+    More items than one block holds take a pass each, over what the passes before have left.
     """
-    own = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    found = contained_items(own.select(F.col("_th").alias("doc_id"), "text"), items, width, threshold).select(F.col("doc_id").alias("_th")).distinct()
-    return own.join(found, "_th", "left_anti").select(*docs.columns)
+    for k, part in enumerate(_item_blocks(items)):
+        docs = _without(materialize(docs, "clean") if k else docs, Sketches(part, width, threshold))
+    return docs
+
+
+def _without(docs: DataFrame, sketches: Sketches) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(sketches)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, known = WordHashes(), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not known.search(x, memo) for x in text_bytes(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
