@@ -24,24 +24,44 @@ def vocabulary(name: str) -> str:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by its url, or by what it is an alias of. Null urls and those without ``://`` have empty parts and are allowed; repeated rows stay; no pages: no rows."""
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-OP1_SQL = r"""
-with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-u as (select page_id, url, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from p),
+def _node(x: str) -> str:
+    """SQL of the resource that the url ``x`` names."""
+    plain = f"regexp_replace(trim({x}), '(?s)#.*$', '')"
+    part = lambda pattern, k: f"regexp_extract({plain}, '{pattern}', {k})"
+    low = lambda y: f"translate({y}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host, path = (part("(?s)^.*?://([^/?#]*)([^?#]*)", k) for k in (1, 2))
+    return f"case when contains({plain}, '://') then {low(part('(?s)^(.*?)://', 1))} || '://' || {low(host)} || case when {path} = '' then '/' else {path} end || {part('(?s)^[^?]*(\\?.*)$', 1)} else {plain} end"
+
+
+OP1_SQL = rf"""
+with recursive p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^<>]*>')) as tag from p where contains(url, '://')),
+hits as (select url, trim(case when regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  when regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end) as raw from tags),
+goals as (select url, replace(raw, '&amp;', '&') as t, regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as site, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) as folder from hits where raw <> ''),
+whole as (select url, case when contains(t, '://') then t when starts_with(t, '//') then scheme || ':' || t when starts_with(t, '/') then site || t when ends_with(folder, '/') then folder || t else folder || '/' || t end as goal from goals),
+one as (select distinct {_node('url')} as a, {_node('goal')} as b from whole), edges as (select a, b from one where a <> b union select b, a from one where a <> b),
+u as (select page_id, url, {_node('url')} as node from p union all select null, a, a from edges),
+x as (select *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from u),
 rules(h, q, action) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-fits as (select distinct u.host, u.path, first_value(h || q) over best as rule, first_value(action) over best as action from (select distinct host, path from u) u join rules on (u.host = h or ends_with(u.host, '.' || h)) and starts_with(u.path, q) window best as (partition by u.host, u.path order by length(h || q) desc))
-select page_id, u.host, u.path, rule, coalesce(action, 'allow') as verdict from u left join fits on u.host = fits.host and u.path = fits.path
+fits as (select distinct x.host, x.path, first_value(h || q) over best as rule, first_value(action) over best as action from (select distinct host, path from x) x join rules on (x.host = h or ends_with(x.host, '.' || h)) and starts_with(x.path, q) window best as (partition by x.host, x.path order by length(h || q) desc)),
+blocked(node) as (select x.url from x join fits using (host, path) where x.page_id is null and action = 'block' union select edges.b from blocked join edges on edges.a = blocked.node)
+select page_id, x.host, x.path, rule, case when action is not null then action when node in (select node from blocked) then 'block' else 'allow' end as verdict from x left join fits on x.host = fits.host and x.path = fits.path where page_id is not null
 """
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its group. Null, empty and wordless texts have fingerprint zero and link alike; repeated rows each get a row; a null id never names a group."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its place. A null text has one byte of size; null ids share a key; repeated rows get slots of their own."""
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
@@ -56,12 +76,14 @@ select doc_id, size, crc as text_crc32, 'key' as law, shard, row_number() over (
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to a store of its own and read back. A null or empty text is the end id alone; null ids come first; repeated rows are written once a row."""
     path, tokenizer = scratch_path(spark, "store"), vocabulary("byte_bpe_50k.json")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, tokenizer)
     return tokenstore.read_store(spark, path, tokenizer)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged. A null or empty text has no words and fails the base rules; repeated rows each get a row."""
     return qualityrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mean_ratio")
 
 
@@ -89,6 +111,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without what an earlier place has. Null and empty texts stay as they are; null ids come first; equal rows are one document."""
     return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
 
 
@@ -107,14 +130,17 @@ from documents o left join d using (doc_id) left join g using (doc_id)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces. A null or empty text is the end id alone; repeated rows and ids are documents of their own."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. A null or empty text is its end alone; a null id is never held out; repeated rows count and are scored each."""
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item. Null and empty texts match nothing; repeated rows are reported each."""
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -132,6 +158,7 @@ from hit join n using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. A null or empty text is scored as no bytes; a null id is never held out; repeated rows each get a row."""
     docs = table(spark, sf_dir, "documents")
     return qualityclf.score(docs, qualityclf.train(docs, table(spark, sf_dir, "labels")))
 

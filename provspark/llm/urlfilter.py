@@ -14,9 +14,11 @@ from provspark.llm.components import connected_components
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_REL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+#: A tag ends at the next < or >, so that unclosed tags are read once.
+_TAG = r"(?is)<(?:link|meta)\b[^<>]*>"
+_REL = r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_META = r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"
 _META_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
 
 
@@ -63,13 +65,11 @@ def _resolved(base: Column, target: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)``: each page's canonical link and its refresh target, absolute."""
-    links = F.array(
-        F.regexp_extract(F.regexp_extract("html", _REL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", _META, 0), _META_URL, 1),
-    )
+    """``(src, dst)``: each page's canonical links and refresh targets, all of them, absolute. Tags are cut out once."""
     found = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("url like '%://%' and html is not null")
-    found = found.where(F.lower("html").rlike(r"canonical|http-equiv")).select("url", F.explode(links).alias("target")).where("target <> ''")
+    found = found.where(F.lower("html").rlike(r"canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    target = F.when(F.col("tag").rlike(_REL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_META), F.regexp_extract("tag", _META_URL, 1))
+    found = found.select("url", target.alias("target")).where("target <> ''")
     return found.select(F.col("url").alias("src"), _resolved(F.col("url"), F.col("target")).alias("dst")).where("dst is not null")
 
 
