@@ -125,3 +125,8 @@ def shared(left: DataFrame, right: DataFrame) -> DataFrame:
 def timings(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, n, median, least, most)`` of measured values, the median exact."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def without(found: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Problems less those of rejected documents, each as often as it stands there: what is left is the capsule's own."""
+    return found.exceptAll(rejected)

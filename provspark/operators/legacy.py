@@ -41,3 +41,15 @@ def source_missing(records: DataFrame, objects: DataFrame, key: str) -> DataFram
 def summary(activities: DataFrame) -> DataFrame:
     """``(issue, n)``: how many legacy activities have each issue."""
     return activities.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def imported(records: DataFrame, objects: DataFrame, key: str, tests: dict[str, Column], sources: int = 2) -> DataFrame:
+    """``records(key, pattern, sources, ...)`` as legacy activities: adds ``roles`` (null for an unknown pattern) and ``issues``.
+
+    A source that is no object of the workspace, and an unknown pattern, are issues found here; ``tests`` names the others,
+    as columns of ``records``. Nothing imported is ever replayed.
+    """
+    gone = source_missing(records, objects, key)
+    found = roles(F.col("pattern"), F.lit(sources))
+    every = tests | {"pattern_unknown": found.isNull(), "unavailable_input": F.col("missing")}
+    return records.join(gone, key).select(*records.columns, found.alias("roles"), issues(every).alias("issues"))

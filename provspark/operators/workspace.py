@@ -131,3 +131,27 @@ def descriptions(states: DataFrame, live: DataFrame, facts: DataFrame, checked:
     looked = ~present if checked is None else ~present | checked
     limits = F.array_compact(F.array(F.when(F.col("depth") >= DEPTH, "depth_limit")))
     return joined.select(*states.columns, present.alias("present"), (F.col("sequence") == F.col("_last")).alias("latest"), F.when(looked, shown).otherwise("unchecked").alias("content"), limits.alias("limits"))
+
+
+def object_summaries(states: DataFrame, analyses: DataFrame, key: str, order: str, content: str, most: int = 20) -> DataFrame:
+    """``(key, latest, content, states, states_truncated, analyses)``: what is shown first of each object.
+
+    ``states`` are opened ones with ``state_no`` counting from 1; ``analyses(key)`` has a row for each analysis.
+    """
+    newest = history.latest(states, key, ["state_no"]).select(key, F.col(order).alias("latest"), F.col(content).alias("content"), F.col("state_no").alias("states"))
+    counted = analyses.groupBy(key).agg(F.count("*").alias("analyses"))
+    shown = [key, "latest", "content", "states", (F.col("states") > most).alias("states_truncated"), F.coalesce("analyses", F.lit(0)).cast("long").alias("analyses")]
+    return newest.join(counted, key, "left").select(*shown)
+
+
+def support(opaque: Column, known: Column, compatible: Column) -> Column:
+    """How a recorded call stands to the contracts at hand: opaque, unknown, incompatible or known."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return check.cascade((F.coalesce(opaque, F.lit(False)), "opaque"), (no(known), "unknown"), (no(compatible), "incompatible"), otherwise="known")
+
+
+def activity_summaries(activities: DataFrame, inputs: DataFrame, most: int = 200) -> DataFrame:
+    """``activities(activity_id, ...)`` with ``input_count``, ``inputs_shown`` and ``inputs_truncated``; inputs are counted before they are joined."""
+    sizes = inputs.groupBy("activity_id").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0)).cast("long")
+    return activities.join(sizes, "activity_id", "left").select(*activities.columns, n.alias("input_count"), F.least(n, F.lit(most)).alias("inputs_shown"), (n > most).alias("inputs_truncated"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provspark.catalog import Tables, query
-from provspark.operators import check, graph, history
+from provspark.operators import check, graph, history, workspace
 
 
 def _user_events(t: Tables) -> DataFrame:
@@ -182,9 +182,7 @@ select l.user_id, latest, content, states, states > 20 as states_truncated, coal
 """)
 def describe_object(t: Tables) -> DataFrame:
     opened = history.observe(t.events.select("user_id", "event_id", "event_type"), "user_id", ["event_id"], ["event_type"])
-    newest = history.latest(opened, "user_id", ["state_no"]).select("user_id", F.col("event_id").alias("latest"), F.col("event_type").alias("content"), F.col("state_no").alias("states"))
-    analyses = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("analyses"))
-    return newest.join(analyses, "user_id", "left").select("user_id", "latest", "content", "states", (F.col("states") > 20).alias("states_truncated"), F.coalesce("analyses", F.lit(0)).cast("long").alias("analyses"))
+    return workspace.object_summaries(opened, t.events.where("event_type = 'purchase'"), "user_id", "event_id", "event_type")
 
 
 @query("""
@@ -207,7 +205,6 @@ select o_orderkey as activity_id, o_custkey as command_id, count(l_orderkey) as
 from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey, o_orderstatus
 """)
 def describe_activity(t: Tables) -> DataFrame:
-    sizes = t.lineitem.groupBy(F.col("l_orderkey").alias("activity_id")).agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    support = check.cascade((F.col("o_orderstatus") == "P", "opaque"), (F.col("o_custkey") % 10 == 0, "unknown"), (F.col("o_orderstatus") == "O", "incompatible"), otherwise="known")
-    return t.orders.withColumnRenamed("o_orderkey", "activity_id").join(sizes, "activity_id", "left").select("activity_id", F.col("o_custkey").alias("command_id"), n.alias("input_count"), F.least(n, F.lit(200)).alias("inputs_shown"), (n > 200).alias("inputs_truncated"), support.alias("support"))
+    support = workspace.support(F.col("o_orderstatus") == "P", F.col("o_custkey") % 10 != 0, F.col("o_orderstatus") != "O")
+    activities = t.orders.select(F.col("o_orderkey").alias("activity_id"), F.col("o_custkey").alias("command_id"), support.alias("support"))
+    return workspace.activity_summaries(activities, t.lineitem.select(F.col("l_orderkey").alias("activity_id")))

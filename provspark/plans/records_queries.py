@@ -42,7 +42,7 @@ def ledger_message(t: Tables) -> DataFrame:
 def document_partition(t: Tables) -> DataFrame:
     lost = check.problems("unknown activity", t.lineitem.where("l_orderkey % 10 = 0"), "l_orderkey")
     rejected = check.problems("unknown activity", t.orders.where("o_orderkey % 20 = 0"), "o_orderkey")
-    return lost.exceptAll(rejected)
+    return check.without(lost, rejected)
 
 
 @query("""
@@ -100,16 +100,15 @@ i as (select event_id, pattern, list_filter([case when k = 0 then 'missing_ances
 
 
 def _imported(t: Tables) -> DataFrame:
-    found = _legacy(t)
+    records = _legacy(t).withColumn("sources", F.array("k"))
     objects = t.spark.range(0, 91).select(F.col("id").alias("object_uuid"))
-    gone = legacy.source_missing(found.select("event_id", F.array("k").alias("sources")), objects, "event_id")
-    tests = {"missing_ancestry": F.col("k") == 0, "pattern_unknown": legacy.roles(F.col("pattern"), F.lit(2)).isNull(), "unavailable_input": F.col("missing"), "unsupported_operation": F.col("user_id") % 5 == 0, "version_mismatch": F.col("k") % 8 == 3}
-    return found.join(gone, "event_id").select("event_id", "pattern", legacy.issues(tests).alias("issues"))
+    tests = {"missing_ancestry": F.col("k") == 0, "unsupported_operation": F.col("user_id") % 5 == 0, "version_mismatch": F.col("k") % 8 == 3}
+    return legacy.imported(records, objects, "event_id", tests)
 
 
 @query(f"with {_LEGACY} select event_id, pattern, case pattern when '2-to-1' then 'source,operand' when 'n-to-1' then 'sources,sources' when '1-to-1' then 'source' end as roles, array_to_string(issues, ',') as issues from i")
 def legacy_import(t: Tables) -> DataFrame:
-    return _imported(t).select("event_id", "pattern", F.array_join(legacy.roles(F.col("pattern"), F.lit(2)), ",").alias("roles"), F.array_join("issues", ",").alias("issues"))
+    return _imported(t).select("event_id", "pattern", F.array_join("roles", ",").alias("roles"), F.array_join("issues", ",").alias("issues"))
 
 
 @query(f"with {_LEGACY} select issue, count(*) as n from (select unnest(issues) as issue from i) group by issue")
