@@ -232,8 +232,9 @@ def _shingled(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 odd = pa.array([parities(x).tobytes() for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(x) for x in sets], pa.int64()), odd], ["th", "s", "n", "odd"])
 
-    own = docs.select(text_hash().alias("th"), F.col("text").cast("string").alias("text")).join(wanted, "th", "left_semi")
-    return own.dropDuplicates(["th"]).select("th", "text").mapInArrow(run, "th long, s array<long>, n long, odd binary")
+    # copies are folded before they are dealt out
+    own = docs.select(text_hash().alias("th"), F.col("text").cast("string").alias("text")).dropDuplicates(["th"])
+    return own.join(wanted, "th", "left_semi").select("th", "text").mapInArrow(run, "th long, s array<long>, n long, odd binary")
 
 
 def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_LEAST, rounds: int = 2) -> DataFrame:
