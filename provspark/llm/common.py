@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provspark.scratch import drop_path, materialize, scratch_path, shared_dir
 
-__all__ = ["WORD", "drop_path", "materialize", "running_start", "scratch_path", "shared_dir", "text_bytes", "whole_texts", "words_of"]
+__all__ = ["WORD", "bounded_batches", "drop_path", "each_text", "materialize", "running_start", "scratch_path", "shared_dir", "text_bytes", "whole_texts", "words_of"]
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +24,19 @@ def text_bytes(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def each_text(column: pa.Array, step: int = 512) -> Iterator[bytes | None]:
+    """``text_bytes`` of a long column, a few texts in memory at a time."""
+    for at in range(0, len(column), step):
+        yield from text_bytes(column.slice(at, step))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Have whole texts go to Python workers ``rows`` at a time where the session has Spark's own 10,000: buffers on both sides hold one batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def whole_texts(column: pa.Array) -> pa.Array:
     """A string column, or a slice of one, as an array of its own (null: empty) with offsets from 0: some Arrow functions misread others."""
     texts = pc.fill_null(column, "").cast(pa.large_string())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, text_bytes, words_of
+from provspark.llm.common import bounded_batches, each_text, materialize, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles of the test items, about, that one pass over the documents carries (some 150 bytes each in a Python worker);
@@ -43,7 +43,7 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
 class WordHashes(dict):
     """Word -> hash, remembered; started anew when it holds too many words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -159,7 +159,7 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = WordHashes(), shared.value
         for batch in batches:
-            rows = [(d, i, q, s, s / q) for d, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))) for i, q, s in known.search(raw, memo)]
+            rows = [(d, i, q, s, s / q) for d, raw in zip(batch.column(0).to_pylist(), each_text(batch.column(1))) for i, q, s in known.search(raw, memo)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
@@ -170,6 +170,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = SHINGLE, t
 
     More items than one block holds take a pass each, over what the passes before have left.
     """
+    bounded_batches(docs.sparkSession)
     for k, part in enumerate(_item_blocks(items)):
         docs = _without(materialize(docs, "clean") if k else docs, Sketches(part, width, threshold))
     return docs
@@ -182,6 +183,6 @@ def _without(docs: DataFrame, sketches: Sketches) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = WordHashes(), shared.value
         for batch in batches:
-            yield batch.filter(pa.array([not known.search(x, memo) for x in text_bytes(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([not known.search(x, memo) for x in each_text(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize
+from provspark.llm.common import bounded_batches, materialize
 from provspark.llm.tokens import Encoder
 
 CAPACITY, OPEN, END_ID = 2048, 64, 1
@@ -78,6 +78,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
     Repeated rows and equal or null doc_ids are packed as documents of their own. No rows: no pieces.
     """
     path = tokenizer or default_tokenizer()
+    bounded_batches(docs.sparkSession)
     extra = ["ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, text_bytes
+from provspark.llm.common import bounded_batches, each_text, materialize
 
 FILTERS, WIDTH, CHUNK = 8, 4, 512
 #: Labelled rows that a model is fitted on, at most, for each class.
@@ -176,7 +176,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
         net = shared.value
         tables = net.tables()
         for batch in batches:
-            p = np.array([probability(x, net, tables) for x in text_bytes(batch.column(1))], float)
+            p = np.array([probability(x, net, tables) for x in each_text(batch.column(1))], float)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
@@ -185,6 +185,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text the classifier accepts, whatever their id; a row's own text decides, without a shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
@@ -192,6 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
         net = shared.value
         tables = net.tables()
         for batch in batches:
-            yield batch.filter(pa.array([probability(x, net, tables) >= threshold for x in text_bytes(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([probability(x, net, tables) >= threshold for x in each_text(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

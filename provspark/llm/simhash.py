@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import materialize, text_bytes, words_of
+from provspark.llm.common import bounded_batches, each_text, materialize, text_bytes, words_of
 from provspark.llm.components import connected_components
 from provspark.llm.decontam import WordHashes, shingle_hashes
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, th: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x, width, seed) for x in text_bytes(batch.column(1))], dtype=np.uint64)
+            fps = np.array([fingerprint(x, width, seed) for x in each_text(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *([batch.column(2)] if th else [])], names)
 
     own = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([text_hash().alias("th")] if th else [])]
@@ -211,10 +211,10 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            texts = text_bytes(batch.column(2))
-            fps = np.array([fingerprint(x) for x in texts], dtype=np.uint64)
-            keys = [bands(shingle_hashes(memo.of(words_of(x)), width)).view(np.int64) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "bands"])
+            made = [(fingerprint(x), bands(shingle_hashes(memo.of(words_of(x)), width)).view(np.int64)) for x in each_text(batch.column(2))]
+            fps = np.array([f for f, _ in made], dtype=np.uint64)
+            keys = pa.array([k for _, k in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), keys], ["doc_id", "th", "fp", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
 
@@ -325,6 +325,7 @@ def keep_near(docs: DataFrame, threshold: int = 2, width: int = NEAR_WIDTH, leas
     Near copies are texts within ``threshold`` bits, as in ``simhash_groups``, or of Jaccard similarity ``least`` or
     more over shingles of ``width`` words.
     """
+    bounded_batches(docs.sparkSession)
     signed = materialize(_signed(docs, width), "near-signed")
     close = materialize(links(signed.select("fp").distinct(), threshold), "simhash-links")
     parts = connected_components(near_links(docs, signed, close, width, least))

@@ -33,8 +33,9 @@ def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     """``flat[start : start + size]`` of each row, one after the other."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    at = np.arange(total, dtype=np.int64)
-    at += np.repeat(start - (ends - size), size)
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((start - (ends - size)).astype(kind), size)
     return flat[at]
 
 
@@ -92,7 +93,7 @@ class Encoder:
 
     _shared: dict[str, Encoder] = {}
 
-    def __new__(cls, path: str, limit: int = 1_000_000):
+    def __new__(cls, path: str, limit: int = 700_000):
         """One for each file in a Python worker, so that tasks share what is remembered."""
         if path not in cls._shared:
             cls._shared[path] = made = super().__new__(cls)
@@ -213,6 +214,7 @@ class Encoder:
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
             yield self._block(whole_texts(texts.slice(at, to - at)), end_id)
             at = to
+        pa.default_memory_pool().release_unused()  # what the columns of a block took
 
     def _block(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if self.piecewise:
