@@ -117,13 +117,14 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
     At most 2 differing bits leave one 32-bit half with at most one, and there the two words share the home
     anchor of the first, so no pair is missed. Each fingerprint is sent to about 35 anchors; an anchor holds
-    distinct fingerprints only, and those at its home differ from it in at most one bit of that half.
+    distinct fingerprints only, and those at its home differ from it in at most one bit of that half. The sides are
+    merged, never broadcast: Spark's statistics take either for as small as the fingerprints, not for 35 times that.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("the code covers thresholds 0 to 2")
     near = _anchored(fps, True).withColumnRenamed("fp", "b")
     home = _anchored(fps, False).withColumnRenamed("fp", "a")
-    pairs = home.join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+    pairs = home.hint("merge").join(near, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     return pairs.select("a", "b")
 
 
@@ -254,7 +255,9 @@ def near_links(docs: DataFrame, signed: DataFrame, given: DataFrame, width: int
     sets = materialize(_shingled(docs, members.select("th").distinct(), width), "near-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), "ta").join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")), "tb")
+        # statistics count an array as one element, so sets of any size could be broadcast
+        one, other = (sets.select(F.col("th").alias(f"t{x}"), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
+        sized = pairs.join(one, "ta").join(other, "tb")
         both = F.size(F.array_intersect("sa", "sb"))
         return sized.where(both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 

@@ -5,6 +5,7 @@ from test_simhash import plain_fingerprint
 
 import corpus_pipeline
 from provspark.llm import simhash
+from provspark.llm.common import materialize
 
 
 def shingled(text, width=5):
@@ -84,3 +85,16 @@ def test_large_groups_of_near_copies_of_one_original(spark):
     kept = {r.doc_id for r in simhash.keep_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert kept <= want and len(want) > 5  # SimHash may join a few more
     assert len(want - kept) <= 2
+
+
+def test_sets_and_anchors_are_never_broadcast(spark):
+    """Their statistics are far below their size: a small file can take all of the driver's memory."""
+    rows = [(d, " ".join(f"w{i}" for i in range(40) if i != d)) for d in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = materialize(simhash._signed(docs, 5), "test-signed")
+    close = simhash.links(signed.select("fp").distinct())
+    found = simhash.near_links(docs, signed, materialize(close, "test-links"), 5, 0.5)
+    for made, joins in ((close, 1), (found, 2)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= joins
+    assert found.count() > 0
