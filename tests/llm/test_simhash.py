@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from provspark.llm import simhash
 from provspark.llm.components import connected_components
@@ -78,6 +79,15 @@ def test_links_match_all_pairs(spark):
     assert {(r.a, r.b) for r in simhash.links(df).collect()} == want and len(want) > 100
 
 
+def test_anchors_of_a_small_table_are_not_broadcast(spark, tmp_path):
+    """35 anchors a fingerprint would go to the driver from a file that is below the threshold."""
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    made = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(500, 900)] + [(7, 3), (1, 1), (None, 2)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
