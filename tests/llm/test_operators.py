@@ -147,6 +147,16 @@ def test_log_ratio_matches_plain_version(spark, corpus, empty):
     assert all(r.mean_ratio == 0 for r in qualityrules.judge(corpus, labels.limit(0)).collect())
 
 
+def test_rules_count_every_trusted_document(spark):
+    """None is left out, however many there are; rows without an id count as raw text only."""
+    n = 20_050
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    ids = qualityrules.trusted_ids(labels)
+    assert ids.count() == n and qualityrules.trusted_ids(labels, 7).count() == 7
+    docs = spark.range(-3, n).selectExpr("if(id = -1, null, id) as doc_id", "'abc' as text")
+    assert [tuple(r)[1:] for r in qualityrules.counts(docs, ids).collect()] == [(n + 3, n)]
+
+
 # line dedup
 
 
