@@ -134,16 +134,18 @@ def simhash_groups(docs: DataFrame, threshold: int = 2) -> DataFrame:
     Exact copies of a fingerprint are folded into one before any comparison, so a huge group of copies costs
     one row. Null and empty texts have fingerprint 0 and link like any other. component_id is the smallest
     doc_id of the component, null ids aside (null if it has no other). Repeated rows each get a row. Extra
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. All sides grow with the table and are merged, never
+    broadcast: copies and running ids take a byte or two a row in a file, by whose size Spark would go. The least
+    ids are a table of their own, so that AQE can split a hot component.
     """
     fps = materialize(fingerprints(docs), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     parts = connected_components(links(classes, threshold))
-    labelled = classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    labelled = classes.hint("merge").join(parts, classes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     labels = materialize(labelled, "simhash-labels")
-    least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = labels.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    least = materialize(labels.groupBy("component").agg(F.min("rep").alias("component_id")), "simhash-least")
+    by_fp = labels.hint("merge").join(least, "component").select("fp", "component_id")
+    return fps.hint("merge").join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def text_hash():

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provspark.llm import simhash
+from provspark.llm.common import materialize
 from provspark.llm.components import connected_components
 
 
@@ -88,6 +89,24 @@ def test_anchors_of_a_small_table_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_rows_of_copies_are_not_broadcast(spark, monkeypatch):
+    """Their ids and fingerprints take a byte or two a row: a file below the threshold may hold millions."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.col("id") % 7).alias("text"))
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    made = simhash.simhash_groups(docs)
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in x for x in plans) and any("SortMergeJoin" in x for x in plans)
+    got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in made.collect())
+    first = {(f, c) for _, f, c in plain_groups([(i, f"some words and {i}") for i in range(7)])}
+    assert len(got) == 3000 and {(f, c) for _, f, c in got} == first
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(500, 900)] + [(7, 3), (1, 1), (None, 2)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
