@@ -272,12 +272,12 @@ def observe_streaming(t: Tables) -> DataFrame:
     rows = t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("object_uuid"), F.col("event_id").alias("ord"), F.col("event_type").alias("content"))
     bounds = rows.agg(F.min("ord"), F.max("ord")).first()
     third = ((bounds[1] or 0) - (bounds[0] or 0)) // 3 + 1
-    for k in range(3):  # files of one batch each, oldest first
+    for k in range(3):  # each third is one micro-batch of many files, oldest first: the stream goes on where it stopped
         low = (bounds[0] or 0) + k * third
-        rows.where((F.col("ord") >= low) & (F.col("ord") < low + third)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    found = observe.observe_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
-    found.awaitTermination()
+        rows.where((F.col("ord") >= low) & (F.col("ord") < low + third)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        found = observe.observe_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+        found.awaitTermination()
     return spark.read.schema(observe.STATES).parquet(f"{base}/out")
 
 

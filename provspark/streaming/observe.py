@@ -24,8 +24,8 @@ def observe_stream(rows: DataFrame) -> DataFrame:
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_ord, last, number = state.get if state.exists else (None, None, 0)
         opened = []
-        frame = pd.concat(list(parts)).sort_values("ord", kind="stable")
-        for at, content in zip(frame["ord"], frame["content"]):
+        seen = [pair for part in parts for pair in zip(part["ord"].tolist(), part["content"].tolist())]
+        for at, content in sorted(seen, key=lambda pair: pair[0]):
             content = None if pd.isna(content) else content
             if last_ord is not None and at <= last_ord:
                 raise ValueError(f"object {key[0]}: observation {at} comes after {last_ord}")
@@ -34,7 +34,8 @@ def observe_stream(rows: DataFrame) -> DataFrame:
                 opened.append((key[0], int(at), content, number))
             last_ord, last = int(at), content
         state.update((last_ord, last, number))
-        yield pd.DataFrame(opened, columns=["object_uuid", "ord", "content", "state_no"])
+        if opened:
+            yield pd.DataFrame(opened, columns=["object_uuid", "ord", "content", "state_no"])
 
     return rows.groupBy("object_uuid").applyInPandasWithState(run, STATES, "last_ord long, last string, number long", "append", GroupStateTimeout.NoTimeout)
 
